@@ -1,0 +1,25 @@
+"""Tables and files that outlive an executor, in the shared folder the cluster names."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name under ``spark.checkpoint.dir``; where that is unset, as in tests, a local one is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = scratch(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
