@@ -17,13 +17,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from . import _words
 
 #: Bytes of benchmark text that are searched for in one pass and sent to every executor.
@@ -89,7 +89,12 @@ def compile_patterns(items: list[tuple[str, str]], window: int) -> list[Patterns
     return [Patterns(*lists, length) for length, lists in sorted(by_length.items())]
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def _scan(items: list[tuple[str, str]], window: int):
+    """Adds one pass's hits to the spans and items that earlier passes found."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = compile_patterns(items, window)
         names = [name for name, _ in items]
@@ -97,6 +102,12 @@ def _scan(items: list[tuple[str, str]], window: int):
             words = _words.split(batch.column("text"), _words.NOT_ALNUM, lower=True)
             edge = np.zeros(len(words.start) + 1, np.int64)
             found: dict[int, set[str]] = defaultdict(set)
+            for d, own in enumerate(batch.column("items").to_pylist()):
+                if own:
+                    found[d] |= set(own)
+                    for span in batch.column("spans")[d].as_py():
+                        edge[words.first[d] + span["start"]] += 1
+                        edge[words.first[d] + span["end"]] -= 1
             for group in groups:
                 start, pattern = group.find(words)
                 np.add.at(edge, start, 1)
@@ -110,53 +121,43 @@ def _scan(items: list[tuple[str, str]], window: int):
                 own = np.concatenate([[0], hit[words.first[d] : words.first[d + 1]].astype(np.int8), [0]])
                 turns = np.flatnonzero(np.diff(own))
                 spans[d] = [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"),
-                    batch.column("doc_id"),
-                    pa.array(np.diff(words.first), pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([sorted(found.get(d, ())) for d in range(batch.num_rows)], pa.list_(pa.string())),
-                ],
-                ["row", "doc_id", "n_words", "spans", "items"],
-            )
+            new = {"n_words": pa.array(np.diff(words.first), pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array([sorted(found.get(d, ())) for d in range(batch.num_rows)], pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], batch.schema.names)
 
     return run
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """``row, doc_id, n_words, spans, items`` of every row of ``docs(doc_id, text)`` against ``benchmark(item_id, text)``.
+    """``row, text, n_words, spans, items`` of every row of ``docs(text, ...)`` against ``benchmark(item_id, text)``.
 
-    ``spans`` are the hit words from ``start`` to before ``end``; ``items`` are
-    the ids, as strings, of items with windows in the text, sorted.
+    ``row`` is a struct of the other columns of ``docs``.  ``spans`` are the hit words
+    from ``start`` to before ``end``; ``items`` are the ids, as strings, of items
+    with windows in the text, sorted.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
     size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    passes = max(1, -(-2 * size // pass_bytes)) if size > pass_bytes else 1  # shares differ, so aim at half
+    passes = -(-2 * size // pass_bytes) if size > pass_bytes else 1  # shares differ, so aim at half
     dealt = known.withColumn("turn", F.pmod(F.xxhash64("item"), F.lit(passes)))
-    schema = "row long, doc_id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
-    scans = []
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    out = docs.select(
+        (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("row"),
+        F.col("text"),
+        F.lit(0).cast("long").alias("n_words"),
+        F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"),
+        F.expr("cast(array() as array<string>)").alias("items"),
+    )
     for turn in range(passes):
         share = sorted(map(tuple, dealt.filter(F.col("turn") == turn).select("item", "text").collect()))
-        scans.append(rows.mapInArrow(_scan(share, window), schema))
-    if passes == 1:
-        return scans[0]
-    merged = reduce(DataFrame.unionByName, scans).groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
-    join = """aggregate(spans, cast(array() as array<struct<start: bigint, end: bigint>>), (done, x) ->
-        if(size(done) > 0 and element_at(done, -1).end >= x.start,
-          array_append(slice(done, 1, size(done) - 1), named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, x.end))),
-          array_append(done, x)))"""
-    return merged.withColumn("spans", F.expr(join))
+        out = (stored(out) if turn else out).mapInArrow(_scan(share, window), out.schema)
+    return out
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside ten-word windows of the benchmark."""
-    found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),

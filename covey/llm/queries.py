@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from . import op3_packing, op5_decontamination, op6_token_counts
+from . import op1_ann, op2_ngram_jaccard, op3_packing, op4_chat_format, op5_decontamination, op6_token_counts, op7_substring_dedup, op8_toxicity, op9_warc, op10_language_id
 
 QUERIES = {
+    "op1_ann": op1_ann.op1_ann,
+    "op2_ngram_jaccard": op2_ngram_jaccard.op2_ngram_jaccard,
     "op3_packing": op3_packing.op3_packing,
+    "op4_chat_format": op4_chat_format.op4_chat_format,
     "op5_decontamination": op5_decontamination.op5_decontamination,
     "op6_token_counts": op6_token_counts.op6_token_counts,
+    "op7_substring_dedup": op7_substring_dedup.op7_substring_dedup,
+    "op8_toxicity": op8_toxicity.op8_toxicity,
+    "op9_warc": op9_warc.op9_warc,
+    "op10_language_id": op10_language_id.op10_language_id,
 }
 
 ORACLES = {
+    "op2_ngram_jaccard": op2_ngram_jaccard.ORACLE,
     "op5_decontamination": op5_decontamination.ORACLE,
+    "op7_substring_dedup": op7_substring_dedup.ORACLE,
+    "op9_warc": op9_warc.ORACLE,
 }
