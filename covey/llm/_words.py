@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 #: The six ASCII white-space bytes.
 WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
@@ -128,3 +129,23 @@ def inside(first: np.ndarray, n: int) -> np.ndarray:
     total = int(first[-1])
     left = np.repeat(first[1:], np.diff(first)) - np.arange(total)
     return left[: max(total - n + 1, 0)] >= n
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Column ``text`` compressed, for texts that are about to be shuffled."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in slices(batches, "text"):
+        data, offsets = buffers(batch.column("text"))
+        raw = data.tobytes()
+        texts = pa.array([pack(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, with column ``text`` as it was."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            texts = pa.array([unpack(x).decode() for x in part.column("text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if c == "text" else part.column(c) for c in part.schema.names], part.schema.names)

@@ -33,9 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import Forest, components
 from ..sources.scratch import stored
@@ -47,8 +49,8 @@ SLOTS = 1 << 18
 SHARD_BLOCK, TEXT_BLOCK = 1000, 400
 #: Points in a leaf and children of a node; groups up to a leaf are compared directly.
 LEAF, FANOUT = 16, 16
-#: Coordinates of a point: a power of two, about one for this many shingles.
-SHINGLES_PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 16, 32, 1024
+#: Coordinates of a point: a power of two, about one for this many shingles, so that none exceeds a byte.
+SHINGLES_PER_GROUP, LEAST_GROUPS = 16, 32
 
 
 def shingles(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -88,8 +90,12 @@ def frequency_classes(texts: DataFrame, size: int) -> np.ndarray:
     return np.where(ratio > 4, np.clip(np.log2(np.maximum(ratio, 1)), 0, 40), 0).astype(np.uint8)
 
 
-def _group_count(n: int) -> int:
-    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (n // SHINGLES_PER_GROUP).bit_length()))
+def _point(h: np.ndarray) -> bytes:
+    """The group counts of a set, a byte each."""
+    mixed, groups = _words.mix(h), max(LEAST_GROUPS, 1 << (len(h) // SHINGLES_PER_GROUP).bit_length())
+    while (point := np.bincount((mixed % groups).astype(np.int64), minlength=groups)).max() > 255:
+        groups *= 2
+    return point.astype(np.uint8).tobytes()
 
 
 def _points(size: int, threshold: tuple[int, int], classes):
@@ -105,10 +111,8 @@ def _points(size: int, threshold: tuple[int, int], classes):
                 own = frequent[(h % SLOTS).astype(np.int64)]
                 order = np.lexsort((h, own))[: n + threshold[0] * n // -threshold[1] + 1]
                 key, hot = h[order].view(np.int64), own[order] > 0
-                groups = _group_count(n)
-                point = np.bincount((_words.mix(h) % groups).astype(np.int64), minlength=groups)
                 first, second = (int(_words.mix(h ^ np.uint64(salt)).sum().astype(np.int64)) for salt in (1, 2))
-                rows.append((n, first, second, np.minimum(point, 65535).astype("<u2").tobytes(), key[~hot], key[hot]))
+                rows.append((n, first, second, _point(h), key[~hot], key[hot]))
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], ["row", "doc_id", "n", "f1", "f2", "point", "keys", "hot_keys"])
@@ -116,11 +120,9 @@ def _points(size: int, threshold: tuple[int, int], classes):
     return run
 
 
-def _fold(points: np.ndarray, groups: int) -> np.ndarray:
-    while points.shape[1] > groups:
-        half = points.shape[1] // 2
-        points = points[:, :half] + points[:, half:]
-    return points
+def _folded(raw: list[bytes], rows: np.ndarray, groups: int) -> np.ndarray:
+    """Points of the rows with ``groups`` coordinates: a finer one adds up coordinates."""
+    return np.stack([np.frombuffer(raw[i], np.uint8).reshape(-1, groups).sum(0, dtype=np.int32) for i in rows.tolist()])
 
 
 def _needed(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
@@ -222,7 +224,7 @@ def _candidates(threshold: tuple[int, int]):
         for table, starts in whole_groups(batches, ["key", "low", "high"]):
             row, n = table["row"].to_numpy(), table["n"].to_numpy().astype(np.int64)
             raw = table["point"].to_pylist()
-            groups = np.array([len(x) // 2 for x in raw])
+            groups = np.array([len(x) for x in raw])
             sizes = np.diff(np.append(starts, len(row)))
             group = np.repeat(np.arange(len(starts)), sizes)
             small = sizes[group] <= LEAF
@@ -236,7 +238,7 @@ def _candidates(threshold: tuple[int, int]):
                 for d in np.unique(shared).tolist():
                     x, y = a[shared == d], b[shared == d]
                     need = np.unique(np.concatenate([x, y]))
-                    points = np.stack([_fold(np.frombuffer(raw[i], "<u2")[None].astype(np.int32), d)[0] for i in need.tolist()])
+                    points = _folded(raw, need, d)
                     x_at, y_at = np.searchsorted(need, x), np.searchsorted(need, y)
                     for lo in range(0, len(x), 1 << 15):
                         cut = slice(lo, lo + (1 << 15))
@@ -244,17 +246,19 @@ def _candidates(threshold: tuple[int, int]):
                         for i, j in zip(row[x[cut][ok]].tolist(), row[y[cut][ok]].tolist(), strict=True):
                             forest.join(i, j)
             for g in np.flatnonzero(sizes > LEAF).tolist():
-                own = np.arange(starts[g], starts[g] + sizes[g])
-                d = int(groups[own].min())
-                points = np.stack([_fold(np.frombuffer(raw[i], "<u2")[None].astype(np.int32), d)[0] for i in own.tolist()])
-                ids = row[own].tolist()
-
-                def apart(xs: np.ndarray, ys: np.ndarray, ids: list[int] = ids) -> bool:
-                    return len({forest.root(ids[i]) for i in (*xs.tolist(), *ys.tolist())}) > 1
-
-                for a, b in Tree(n[own], points, threshold).pairs(apart):
-                    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                        forest.join(ids[i], ids[j])
+                shard = np.arange(starts[g], starts[g] + sizes[g])
+                # Sets that can link differ in size by less than half, so in the number of groups by a step at most.
+                for d in np.unique(groups[shard]).tolist():
+                    own = shard[(groups[shard] == d) | (groups[shard] == 2 * d)]
+                    ids, fine = row[own].tolist(), groups[own] > d
+
+                    def apart(xs: np.ndarray, ys: np.ndarray, ids: list[int] = ids) -> bool:
+                        return len({forest.root(ids[i]) for i in (*xs.tolist(), *ys.tolist())}) > 1
+
+                    for a, b in Tree(n[own], _folded(raw, own, d), threshold).pairs(apart):
+                        coarse = ~(fine[a] & fine[b])  # two fine ones meet in the finer tree
+                        for i, j in zip(a[coarse].tolist(), b[coarse].tolist(), strict=True):
+                            forest.join(ids[i], ids[j])
         yield _edge_batch(forest)
 
     return run
@@ -267,12 +271,12 @@ def _edge_batch(forest: Forest) -> pa.RecordBatch:
 
 def _verified(size: int, threshold: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
+        forest, unpack = Forest(), zstandard.ZstdDecompressor().decompress
         p, q = threshold
         for table, starts in whole_groups(batches, ["component", "low", "high"]):
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
                 rows = table["row"].slice(a, b - a).to_pylist()
-                sets = shingles(table["text"].slice(a, b - a), size)
+                sets = shingles(pa.array([unpack(x).decode() for x in table["text"].slice(a, b - a).to_pylist()], pa.string()), size)
                 n = np.array([len(s) for s in sets])
                 owner = np.repeat(np.arange(len(sets)), n)
                 _, code, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -311,15 +315,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     points = stored(rows.mapInArrow(_points(shingle, threshold, classes), "row long, doc_id long, n int, f1 long, f2 long, point binary, keys array<long>, hot_keys array<long>"))
     same = points.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("row").alias("row"))
     first = points.join(same.select("row").hint("shuffle_hash"), "row", "left_semi")
-    keys = first.select("row", "n", F.explode("keys").alias("key")).withColumn("members", F.count("*").over(W.partitionBy("key"))).filter("members > 1")
-    hot = first.filter(F.size("hot_keys") > 0).select("row", "n", F.explode("hot_keys").alias("key"))
+    # A set has something to meet in a shard if the next smaller or larger set there is of about its size.
+    p, q = threshold
+    by_key = W.partitionBy("key")
+    keys = first.select("row", "n", F.explode("keys").alias("key")).withColumns({"below": F.lag("n").over(by_key.orderBy("n", "row")), "above": F.lead("n").over(by_key.orderBy("n", "row")), "members": F.count("*").over(by_key)})
+    keys = keys.filter(f"{q} * below >= {p} * n or {q} * n >= {p} * above").select("row", "n", "key", "members")
+    # Frequent keys are told apart by bands of sizes as well; sets that link lie in one band or in two next to each other.
+    band = F.floor(F.log("n") / float(np.log(q / p))).cast("int") if p < q else F.col("n")
+    hot = first.filter(F.size("hot_keys") > 0).select("row", "n", F.explode("hot_keys").alias("key"), band.alias("band"))
+    hot = hot.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).select("row", "n", F.xxhash64("key", "band").alias("key"))
     hot = hot.join(hot.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "key").select("row", "n", "key", "members")
     shards = _in_blocks(keys.unionByName(hot), "members", SHARD_BLOCK).join(points.select("row", "point"), "row")
     shards = shards.select("key", "low", "high", "row", "n", "point").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "row")
     candidates = components(shards.mapInArrow(_candidates(threshold), "a long, b long"))
     members = candidates.unionByName(candidates.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "row")
     members = members.join(members.groupBy("component").agg(F.count("*").alias("members")), "component")
-    texts = rows.select("row", "text").join(_in_blocks(members, "members", TEXT_BLOCK).hint("shuffle_hash"), "row")
+    texts = rows.select("row", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_words.packed, "row long, text binary").join(_in_blocks(members, "members", TEXT_BLOCK).hint("shuffle_hash"), "row")
     texts = texts.select("component", "low", "high", "row", "text").repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "row")
     linked = components(texts.mapInArrow(_verified(shingle, threshold), "a long, b long"))
     # From representatives to all members of their classes, then the smallest id of each component.
@@ -330,6 +341,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     return slim.join(named, ["n", "f1", "f2"], "left").select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """One row of each component of ``docs``: the first with the smallest id.  Rows without words stay."""
+    found = near_duplicates(docs, shingle, threshold)
+    groups = found.filter("n_shingles > 0 and doc_id <=> component_id").groupBy("component_id").agg(F.min("row").alias("row")).select("row")
+    kept = groups.unionByName(found.filter("n_shingles = 0").select("row"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").isNull().alias("none"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest"))
+    packed = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in rows.schema])
+    out = rows.mapInArrow(_words.packed, packed).join(kept.hint("shuffle_hash"), "row", "left_semi").mapInArrow(_words.unpacked, rows.schema)
+    return out.select(*(F.when(~F.col("none"), F.col("text")).alias("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, a Jaccard similarity of 0.9."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, (90, 100)).select("doc_id", "n_shingles", "component_id")
