@@ -34,6 +34,10 @@ from ..sources.scratch import scratch, stored
 
 #: Ranges of one file with a smaller gap between them are read at once, up to so many bytes.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: Compressed bytes that a reading task gets, about.
+TASK_BYTES = 16 << 20
+#: Rows that a task handles at once.
+ROWS = 200
 #: The date of all records: archives of the same pages are the same.
 DATE = "2000-01-01T00:00:00Z"
 
@@ -60,13 +64,19 @@ def _record(page_id: int | None, url: str, payload: bytes, digest: str, target:
     return "\r\n".join([*head, "", ""]).encode() + body + b"\r\n\r\n"
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         path, out, at = f"{base}/{uuid.uuid4().hex}.warc.gz", None, 0
         try:
-            for batch in batches:
+            for batch in _parts(batches):
                 rows = []
                 for page_id, url, html, target in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "target")), strict=True):
                     payload = html.encode()
@@ -135,7 +145,7 @@ def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
         path, file = None, None
-        for batch in batches:
+        for batch in _parts(batches):
             paths, spans = batch.column("path").to_pylist(), list(zip(batch.column("offset").to_pylist(), batch.column("length").to_pylist(), strict=True))
             digests, out, i = batch.column("digest").to_pylist(), [], 0
             while i < len(paths):
@@ -174,7 +184,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
 
     Filter the index first: only the ranges of its rows are read.
     """
-    rows = index.select("path", "offset", "length", "digest").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    rows = index.select("path", "offset", "length", "digest").repartitionByRange(max(1, -(-total // TASK_BYTES)), "path", "offset").sortWithinPartitions("path", "offset")
     return rows.mapInArrow(_read(folder), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
