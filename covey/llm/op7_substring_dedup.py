@@ -10,8 +10,8 @@ passage that repeats.  The trees are built group by group:
 2. The number of occurrences of an anchor bounds the suffixes of its group.  In a
    small group the anchor is the partitioning prefix: its suffixes come together
    and are sorted, which makes equal paths neighbours.  In a large one the prefix
-   is lengthened to the whole path; only the smallest leaf of each path is kept,
-   found by partial aggregation, so no task holds a frequent passage's copies.
+   is lengthened to the whole path, and its leaves are ranked in shares before the
+   first ones of the shares are, so no task holds a frequent passage's copies.
 3. All leaves of a deep node but its first are windows to remove; neighbouring
    ones join into maximal repeats.
 
@@ -33,11 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words
+from ..sources.scratch import stored
 
 #: Words in an anchor.
 ANCHOR_WORDS = 5
 #: An anchor with more occurrences has its prefix lengthened.
 GROUP_ANCHORS = 5_000
+#: Shares in which the copies of one path are ranked.
+SHARES = 256
 
 
 def _sliding(values: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
@@ -85,26 +88,20 @@ def _anchors(window: int):
 
 def _candidates(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _words.slices(batches, "text"):
+        for batch in _words.slices(_words.unpacked(batches), "text"):
             words = _words.split(batch.column("text"))
             start, low = window_anchors(words, window)
             path = _words.grams(words.hash, window)
             doc = np.searchsorted(words.first, start, "right") - 1
             bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            kept, large = [], []
-            for d, (small, big) in enumerate(zip(batch.column("small"), batch.column("big"), strict=True)):
-                own = low[bounds[d] : bounds[d + 1]].view(np.int64)
-                in_big = np.isin(own, big.values.to_numpy())
-                hit = np.flatnonzero(in_big | np.isin(own, small.values.to_numpy()))
-                kept.append(hit + bounds[d])
-                large.append(in_big[hit])
-            at, large = np.concatenate(kept), np.concatenate(large)
+            kept = [np.flatnonzero(np.isin(low[bounds[d] : bounds[d + 1]].view(np.int64), own.values.to_numpy())) + bounds[d] for d, own in enumerate(batch.column("anchors"))]
+            at = np.concatenate(kept)
             if not len(at):
                 continue
             where = pa.array(doc[at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(path[start[at]].view(np.int64)), batch.column("doc_id").take(where), batch.column("row").take(where), pa.array((start[at] - words.first[doc[at]]).astype(np.int32)), pa.array(large)],
-                ["path", "doc_id", "row", "start", "large"],
+                [pa.array(path[start[at]].view(np.int64)), batch.column("doc_id").take(where), batch.column("row").take(where), pa.array((start[at] - words.first[doc[at]]).astype(np.int32))],
+                ["path", "doc_id", "row", "start"],
             )
 
     return run
@@ -112,7 +109,7 @@ def _candidates(window: int):
 
 def _removed(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _words.slices(batches, "text"):
+        for batch in _words.slices(_words.unpacked(batches), "text"):
             words = _words.split(batch.column("text"))
             spans = [[] for _ in range(batch.num_rows)]
             for d, starts in enumerate(batch.column("starts")):
@@ -150,23 +147,25 @@ def remove_repeats(docs: DataFrame, window: int = 20, group_anchors: int = GROUP
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), rest)
     anchors = rows.select("row", "text").mapInArrow(_anchors(window), "row long, anchor long, times long")
     frequent = anchors.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1")
-    flagged = (
-        anchors.select("row", "anchor")
-        .join(frequent, "anchor")
-        .groupBy("row")
-        .agg(F.collect_list(F.when(F.col("times") <= group_anchors, F.col("anchor"))).alias("small"), F.collect_list(F.when(F.col("times") > group_anchors, F.col("anchor"))).alias("big"))
-    )
-    texts = rows.repartition("row")  # one exchange for both joins
-    suffixes = texts.join(flagged.hint("shuffle_hash"), "row").select("row", "doc_id", "text", "small", "big").mapInArrow(_candidates(window), "path long, doc_id long, row long, start int, large boolean")
+    shared = anchors.select("row", "anchor").join(frequent, "anchor").groupBy("row")
+    flagged = stored(shared.agg(F.collect_list(F.when(F.col("times") <= group_anchors, F.col("anchor"))).alias("small"), F.collect_list(F.when(F.col("times") > group_anchors, F.col("anchor"))).alias("large")))
+    kind = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in rows.schema])
+    texts = rows.mapInArrow(_words.packed, kind).repartition("row")  # one exchange for all joins
+
+    def suffixes(group: str) -> DataFrame:
+        own = flagged.filter(F.size(group) > 0).select("row", F.col(group).alias("anchors"))
+        return texts.join(own.hint("shuffle_hash"), "row").select("row", "doc_id", "text", "anchors").mapInArrow(_candidates(window), "path long, doc_id long, row long, start int")
+
     leaf = ["doc_id", "row", "start"]
-    small = suffixes.filter(~F.col("large")).withColumn("leaf", F.row_number().over(W.partitionBy("path").orderBy(*leaf))).filter("leaf > 1").select("row", "start")
-    large = suffixes.filter("large")
-    nodes = large.groupBy("path").agg(F.min(F.struct(*leaf)).alias("first"), F.count("*").alias("leaves")).filter("leaves > 1").select("path", "first")
-    large = large.join(nodes, "path").filter((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))).select("row", "start")
+    small = suffixes("small").withColumn("leaf", F.row_number().over(W.partitionBy("path").orderBy(*leaf))).filter("leaf > 1").select("row", "start")
+    # Copies of a frequent path are ranked in shares first; only the first of each share meet.
+    shares = suffixes("large").withColumn("share", F.pmod(F.xxhash64("row"), F.lit(SHARES))).withColumn("leaf", F.row_number().over(W.partitionBy("path", "share").orderBy(*leaf)))
+    heads = shares.filter("leaf = 1").drop("leaf").withColumn("leaf", F.row_number().over(W.partitionBy("path").orderBy(*leaf)))
+    large = shares.filter("leaf > 1").select("row", "start").unionByName(heads.filter("leaf > 1").select("row", "start"))
     starts = small.unionByName(large).groupBy("row").agg(F.collect_list("start").alias("starts"))
     found = texts.join(starts.hint("shuffle_hash"), "row", "left").select("rest", "text", "starts")
-    kind = T.StructType([T.StructField("row", rows.schema["rest"].dataType), *T.StructType.fromDDL("text string, n_words long, repeats array<struct<start: long, end: long>>, kept string")])
-    return found.mapInArrow(_removed(window), kind)
+    out = T.StructType([T.StructField("row", rows.schema["rest"].dataType), *T.StructType.fromDDL("text string, n_words long, repeats array<struct<start: long, end: long>>, kept string")])
+    return found.mapInArrow(_removed(window), out)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
