@@ -2,12 +2,17 @@
 
 Documents become token ids and an end id.  Whole windows are cut off the front
 of long documents where they are tokenised; they fill a sequence each and never
-move again.  What remains of each document, shorter than a window, goes to one
-of many shards of bounded size.  A shard indexes its pieces by token (BM25, with
-document frequencies of the whole corpus, a table no longer than the
-vocabulary).  The longest unused piece seeds a sequence; its unused neighbours
-in order of score fill the window; the best one that doesn't fit is cut to close
-the gap and its rest stays unused.  Each shard leaves one unfilled sequence.
+move again.  What remains of each document, shorter than a window, is a piece.
+The longest pieces, as many as the tokens fill windows, seed a sequence each.
+A seed asks with all its terms for its best unused pieces by BM25 (document
+frequencies of the whole corpus, a table no longer than the vocabulary): blocks
+of seeds meet every shard of pieces, and the best of all shards are merged.  So
+the shards bound a task's memory and hide nothing.  A piece that several seeds
+want goes to the best score first.  Neighbours fill the window in order of
+score; one that doesn't fit is cut to close the gap and its rest stays unused.
+Sequences with room ask again until they are full or nothing is unused.  When
+what is left fits one shard, one task ends it seed by seed.  The comparisons of
+seeds with pieces grow with the square of the corpus.
 
 Null and empty texts have the end id only.  Repeated rows and ids are packed
 once per row.  An empty table gives no rows; other columns are not read.
@@ -22,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
@@ -29,10 +35,12 @@ from . import _words
 from .transducer import encoder
 
 FULL, REST, FREQUENCY = 0, 1, 2
-#: Tokens of one shard, about.
+#: Tokens that one task ends with, about.
 SHARD_TOKENS = 1 << 20
-#: Query terms of a seed, those of the largest weight.
-QUERY_TERMS = 16
+#: Blocks of seeds and shards of pieces that meet are so many times larger, as each is copied for every one of the other side.
+MEETING = 4
+#: Tokens of neighbours a seed is told of at a time, in its room, and how often they are dealt before it asks again.
+AHEAD, DEALS = 4, 6
 K1, LENGTH_WEIGHT = 1.2, 0.75
 
 _PIECES = "kind byte, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -73,7 +81,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Index:
-    """BM25 over the pieces of one shard; postings are token-major, terms piece-major."""
+    """BM25 over pieces; postings are token-major."""
 
     def __init__(self, pieces: list[np.ndarray], idf: np.ndarray, mean_length: float):
         self.n = len(pieces)
@@ -82,89 +90,162 @@ class Index:
         key, tf = np.unique(np.concatenate(pieces).astype(np.int64) * self.n + owner, return_counts=True)
         token, self.piece = key // self.n, key % self.n
         self.weight = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * size[self.piece] / mean_length))
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        last = np.append(first[1:], len(token))
-        group = np.repeat(np.arange(len(first)), last - first)
-        shared = (last - first)[group] > 1  # a term of one piece finds nothing
-        order = np.lexsort((-self.weight, self.piece))
-        order = order[shared[order]]
-        bounds = np.searchsorted(self.piece[order], np.arange(self.n + 1))
-        self.terms = [group[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.first, self.last = first, last
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused pieces that share terms with the seed, best first, ties in order."""
-        spans = [np.arange(self.first[t], self.last[t]) for t in self.terms[seed]]
-        if not spans:
-            return np.zeros(0, np.int64)
-        at = np.concatenate(spans)
-        score = np.bincount(self.piece[at], self.weight[at], minlength=self.n)
-        score[~unused] = 0
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
-
-
-def fill(pieces: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """``piece, from, length, sequence, offset`` of every part placed; each token lies in one part."""
+        self.bounds = np.searchsorted(token, np.arange(len(idf) + 1))
+
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        """Of every piece for all terms of a seed; the terms are added in order, so shards don't change a score."""
+        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in np.unique(ids).tolist()]
+        return np.bincount(np.concatenate([self.piece[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), minlength=self.n)
+
+
+def fill(pieces: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int, opened: list[tuple[np.ndarray, int]] = ()) -> Iterator[tuple[int, int, int, int, int]]:
+    """``piece, from, length, sequence, offset`` of every part placed; each token lies in one part.
+
+    ``opened`` are seeds and rooms of sequences to fill first.  A sequence has the
+    place of its seed among ``pieces``, then ``opened``.
+    """
+    if not pieces:
+        return
     index = Index(pieces, idf, mean_length)
     start = np.zeros(len(pieces), np.int64)
     left = np.array([len(p) for p in pieces])
-    unused = np.ones(len(pieces), bool)
-    by_length = np.argsort(-left, kind="stable").tolist()
-    sequence, at = 0, 0
 
-    def place(piece: int, room: int) -> tuple[int, int, int, int, int]:
+    def place(piece: int, room: int, sequence: int) -> tuple[int, int, int, int, int]:
         take = min(int(left[piece]), room)
         part = (piece, int(start[piece]), take, sequence, window - room)
         start[piece] += take
         left[piece] -= take
-        unused[piece] = left[piece] > 0
         return part
 
-    def rest(room: int) -> Iterator[int]:
-        for piece in by_length[at:]:
-            if unused[piece]:
-                yield piece
-
-    while True:
-        while at < len(by_length) and not unused[by_length[at]]:
-            at += 1
-        if at == len(by_length):
+    def follow(ids: np.ndarray, room: int, sequence: int) -> Iterator[tuple[int, int, int, int, int]]:
+        if not room:
             return
-        seed, room = by_length[at], window
-        found = index.neighbours(seed, unused).tolist()
-        part = place(seed, room)
-        room -= part[2]
-        yield part
-        for piece in found:  # whole neighbours first
-            if room and unused[piece] and left[piece] <= room:
-                part = place(piece, room)
-                room -= part[2]
-                yield part
-        for piece in (*(p for p in found if unused[p]), *(rest(room) if room else ())):  # then cut one, or take what is left
-            if not room:
-                break
-            if unused[piece]:
-                part = place(piece, room)
-                room -= part[2]
-                yield part
-        sequence += 1
-
-
-def _pack_shard(idf: np.ndarray, mean_length: float, window: int, width: str):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start"], kind="stable", na_position="first").reset_index(drop=True)
-        pieces = [np.frombuffer(x, width) for x in rows["ids"]]
-        parts = [(p, a, n, s, o, _crc(pieces[p][a : a + n])) for p, a, n, s, o in fill(pieces, idf, mean_length, window)]
-        piece, start, length, sequence, offset, crc = (np.array(x) for x in zip(*parts, strict=True))
+        score = index.scores(ids)
+        score[left == 0] = -1
+        for piece in np.argsort(-score, kind="stable").tolist():
+            if not room or score[piece] < 0:
+                return
+            part = place(piece, room, sequence)
+            room -= part[2]
+            yield part
+
+    for i, (ids, room) in enumerate(opened):
+        if left.any():
+            yield from follow(ids, room, len(pieces) + i)
+    for seed in np.argsort(-left, kind="stable").tolist():
+        if left[seed]:
+            ids = pieces[seed][start[seed] :]
+            part = place(seed, window, seed)
+            yield part
+            yield from follow(ids, window - part[2], seed)
+
+
+def _nearest(idf: np.ndarray, mean_length: float, width: str):
+    def run(pieces: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(pieces) and len(seeds):
+            pieces = pieces.sort_values("piece", ignore_index=True)
+            index = Index([np.frombuffer(x, width) for x in pieces["ids"]], idf, mean_length)
+            length = pieces["length"].to_numpy()
+            for sequence, ids, room in zip(seeds["sequence"], seeds["ids"], seeds["room"], strict=True):
+                score = index.scores(np.frombuffer(ids, width))
+                many = 32
+                while True:
+                    at = np.arange(index.n) if many >= index.n else np.flatnonzero(score >= np.partition(score, index.n - many)[index.n - many])
+                    at = at[np.argsort(-score[at], kind="stable")]
+                    before = np.cumsum(length[at]) - length[at]
+                    if many >= index.n or before[-1] >= AHEAD * room:
+                        break
+                    many *= 4
+                at = at[before < AHEAD * room]
+                found.append(pd.DataFrame({"sequence": sequence, "piece": pieces["piece"].to_numpy()[at], "score": score[at], "length": length[at]}))
+        return pd.concat(found) if found else pd.DataFrame({"sequence": [], "piece": [], "score": [], "length": []})
+
+    return run
+
+
+def nearest(seeds: DataFrame, pieces: DataFrame, idf: np.ndarray, mean_length: float, width: str, blocks: int, shards: int) -> DataFrame:
+    """``sequence, piece, score, length``: of all ``pieces(piece, ids, length)`` the best of each of ``seeds(sequence, ids, room)``, until they fill its room ``AHEAD`` times."""
+
+    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, copies: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+    left = dealt(pieces.select("piece", "ids", "length"), "piece", "shard", shards, "block", blocks)
+    right = dealt(seeds.select("sequence", "ids", "room"), "sequence", "block", blocks, "shard", shards)
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_nearest(idf, mean_length, width), "sequence long, piece long, score double, length long")
+    order = W.partitionBy("sequence").orderBy(F.desc("score"), "piece")
+    before = F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    kept = found.withColumn("before", before).join(seeds.select("sequence", "room"), "sequence").filter(F.col("before") < AHEAD * F.col("room"))
+    return kept.select("sequence", "piece", "score", "length")
+
+
+def _deal(found: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``sequence, piece, from, take, at`` of the parts that seeds get of what they found, and ``sequence, got``.
+
+    A seed wants its neighbours in order of score until its room is full; a piece goes to
+    the best score first, and on to the next one as far as it was cut.
+    """
+    given = None
+    for deal in range(DEALS):
+        live = found.join(seeds.select("sequence", "room"), "sequence")
+        if given is None:
+            live = live.withColumns({"used": F.lit(0).cast("long"), "got": F.lit(0).cast("long")})
+        else:
+            live = live.join(given.groupBy("piece").agg(F.sum("take").alias("used")), "piece", "left").join(given.groupBy("sequence").agg(F.sum("take").alias("got")), "sequence", "left").fillna(0, ["used", "got"])
+        live = live.withColumn("left", F.col("length") - F.col("used")).filter("left > 0 and room > got")
+        own = W.partitionBy("sequence").orderBy(F.desc("score"), "piece")
+        earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        wanted = live.withColumn("want", F.least("left", F.col("room") - F.col("got") - earlier("left", own))).filter("want > 0")
+        rivals = W.partitionBy("piece").orderBy(F.desc("score"), "sequence")
+        got = wanted.withColumn("before", earlier("want", rivals)).withColumn("take", F.least("want", F.col("left") - F.col("before"))).filter("take > 0")
+        new = stored(got.select("sequence", "piece", (F.col("used") + F.col("before")).alias("from"), "take", (F.col("got") + earlier("take", own)).alias("at")))
+        if not new.limit(1).count():
+            break
+        given = new if given is None else given.unionByName(new)
+    return given, given.groupBy("sequence").agg(F.sum("take").alias("got"))
+
+
+_PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_SPLIT = f"{_PLACED}, piece long, ids binary"
+
+
+def _split(width: str):
+    """Parts of pieces as dealt, and their rests, which have no sequence."""
+    size = np.dtype(width).itemsize
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                ids, used = np.frombuffer(r.ids, width), 0
+                for p in () if r.parts is None else r.parts:
+                    a, n = p["from"], p["take"]
+                    rows.append((r.doc_id, r.start + a, n, _crc(ids[a : a + n]), r.doc_tokens, p["sequence"], p["offset"], None, None))
+                    used = max(used, a + n)
+                if used < len(ids):
+                    rows.append((r.doc_id, r.start + used, len(ids) - used, 0, r.doc_tokens, None, None, r.piece, r.ids[used * size :]))
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "piece", "ids"]).astype({c: "Int64" for c in ("doc_id", "sequence_id", "offset", "piece")})
+
+    return run
+
+
+def _end(idf: np.ndarray, mean_length: float, window: int, width: str):
+    def run(pieces: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+        pieces = pieces.sort_values(["doc_id", "start", "piece"], kind="stable", na_position="first").reset_index(drop=True)
+        seeds = pd.DataFrame({"sequence": [], "ids": [], "room": []}) if seeds.empty else seeds.sort_values("sequence", ignore_index=True)
+        own = [np.frombuffer(x, width) for x in pieces["ids"]]
+        opened = [(np.frombuffer(x, width), int(r)) for x, r in zip(seeds["ids"], seeds["room"], strict=True)]
+        parts = [(p, a, n, s, o, _crc(own[p][a : a + n])) for p, a, n, s, o in fill(own, idf, mean_length, window, opened)]
+        piece, start, length, sequence, offset, crc = (np.array(x, np.int64) for x in (zip(*parts, strict=True) if parts else [[]] * 6))
+        names = np.concatenate([pieces["piece"].to_numpy(np.int64), seeds["sequence"].to_numpy(np.int64)])
         return pd.DataFrame(
             {
-                "doc_id": rows["doc_id"].array[piece],
-                "start": rows["start"].to_numpy()[piece] + start,
+                "doc_id": pieces["doc_id"].array[piece],
+                "start": pieces["start"].to_numpy(np.int64)[piece] + start,
                 "length": length,
                 "ids_crc32": crc,
-                "doc_tokens": rows["doc_tokens"].to_numpy()[piece],
-                "sequence_id": (np.int64(key[0]) << np.int64(32)) + sequence,
+                "doc_tokens": pieces["doc_tokens"].to_numpy(np.int64)[piece],
+                "sequence_id": names[sequence],
                 "offset": offset,
             }
         )
@@ -172,10 +253,58 @@ def _pack_shard(idf: np.ndarray, mean_length: float, window: int, width: str):
     return run
 
 
+def _new_seeds(unused: DataFrame, tokens: int, window: int) -> DataFrame:
+    """``piece`` of the longest pieces, about as many as ``tokens`` fill windows; of the last length a share by hash."""
+    want = -(-tokens // window)
+    # One row for each length, below a window, comes to the driver.
+    for length, n in sorted(unused.groupBy("length").count().collect(), reverse=True):
+        if n >= want:
+            break
+        want -= n
+    share = max(1, round(want / n * 1_000_000))
+    chosen = unused.filter((F.col("length") > length) | ((F.col("length") == length) & (F.pmod(F.xxhash64("piece"), F.lit(1_000_000)) < share))).select("piece")
+    return chosen if chosen.limit(1).count() else unused.agg(F.max_by("piece", F.struct("length", "piece")).alias("piece"))
+
+
+def _pack_pieces(rests: DataFrame, idf: np.ndarray, mean_length: float, window: int, width: str, shard_tokens: int) -> DataFrame:
+    """Parts of ``rests``; a sequence is named after the piece that seeds it."""
+    unused = stored(rests.select(F.monotonically_increasing_id().alias("piece"), "doc_id", "start", "length", "doc_tokens", "ids"))
+    opened = unused.limit(0).select(F.col("piece").alias("sequence"), "ids", F.col("length").alias("room"))
+    placed = []
+    width_bytes = np.dtype(width).itemsize
+    tokens_of = lambda df: df.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // width_bytes
+    while True:
+        tokens, asking = tokens_of(unused), tokens_of(opened)
+        if not tokens:
+            break
+        if tokens + asking <= shard_tokens:
+            one = lambda df: df.withColumn("all", F.lit(0)).groupBy("all")
+            placed.append(one(unused).cogroup(one(opened)).applyInPandas(_end(idf, mean_length, window, width), _PLACED))
+            break
+        if not asking:
+            chosen = stored(_new_seeds(unused, tokens, window))
+            seeds = unused.join(chosen, "piece", "left_semi")
+            opened = stored(seeds.select(F.col("piece").alias("sequence"), "ids", (F.lit(window) - F.col("length")).alias("room")))
+            parts = chosen.join(unused.select("piece", "length"), "piece").select(F.col("piece").alias("sequence"), "piece", F.lit(0).cast("long").alias("from"), F.col("length").alias("take"), F.lit(0).cast("long").alias("offset"))
+        else:
+            blocks, shards = (max(1, -(-n // (MEETING * shard_tokens))) for n in (asking, tokens))
+            given, got = _deal(stored(nearest(opened, unused, idf, mean_length, width, blocks, shards)), opened)
+            parts = given.join(opened.select("sequence", "room"), "sequence").select("sequence", "piece", "from", "take", (F.lit(window) - F.col("room") + F.col("at")).alias("offset"))
+            opened = stored(opened.join(got, "sequence", "left").select("sequence", "ids", (F.col("room") - F.coalesce("got", F.lit(0))).alias("room")).filter("room > 0"))
+        lists = parts.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("from", "take", "sequence", "offset"))).alias("parts"))
+        split = stored(unused.join(lists, "piece", "left").select("piece", "doc_id", "start", "doc_tokens", "ids", "parts").mapInPandas(_split(width), _SPLIT))
+        placed.append(split.filter("sequence_id is not null").select(*_PLACED.replace(" long", "").split(", ")))
+        unused = split.filter("sequence_id is null").select("piece", "doc_id", "start", "length", "doc_tokens", "ids")
+    out = placed[0] if placed else rests.sparkSession.createDataFrame([], _PLACED)
+    for more in placed[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece of ``docs(doc_id, text)``.
 
-    Sequences of whole windows have odd ids, those of the shards even ones.
+    Sequences of whole windows have odd ids, those of pieces even ones.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     pieces = stored(texts.mapInArrow(_tokenise(tokenizer, window, end_id), _PIECES))
@@ -188,16 +317,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, s
     for token, seen in frequency:
         n[token] = seen
     idf = np.log1p((n.max(initial=0) - n + 0.5) / (n + 0.5))  # every document has the end id, so its count is theirs
-    shards = max(1, -(-total // shard_tokens))
-    packed = (
-        rests.select("doc_id", "start", "doc_tokens", "ids", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(shards)).alias("shard"))
-        .groupBy("shard")
-        .applyInPandas(
-            _pack_shard(idf, total / max(1, count), window, "<u2" if size <= 1 << 16 else "<u4"),
-            "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
-        )
-        .withColumn("sequence_id", F.col("sequence_id") * 2)
-    )
+    width = "<u2" if size <= 1 << 16 else "<u4"
+    packed = _pack_pieces(rests, idf, total / max(1, count), window, width, shard_tokens).withColumn("sequence_id", F.col("sequence_id") * 2)
     full = pieces.filter(F.col("kind") == FULL).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )

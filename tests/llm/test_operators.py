@@ -164,6 +164,22 @@ def test_packing_puts_neighbours_together():
     assert all(len(g) == 1 for g in groups.values())
 
 
+def test_packing_searches_all_shards(spark):
+    rng = np.random.default_rng(1)
+    pieces = [np.concatenate([[100 + i // 2] * 3, rng.integers(1000, 9000, 20 + i % 2)]).astype("<u2") for i in range(80)]
+    idf = np.log1p(np.arange(50257) % 7)
+    rows = spark.createDataFrame([(i, i, 0, len(p), len(p), p.tobytes()) for i, p in enumerate(pieces)], "piece long, doc_id long, start long, length long, doc_tokens long, ids binary")
+    index = op3_packing.Index(pieces, idf, 23.0)
+    want = {(i, int(j)) for i in range(0, 80, 5) for j in np.argsort(-index.scores(pieces[i]), kind="stable")[:3]}
+    seeds = rows.filter("piece % 5 = 0").select(F.col("piece").alias("sequence"), "ids", F.lit(15).cast("long").alias("room"))
+    for blocks, shards in ((1, 1), (3, 16)):  # the same neighbours as over the whole corpus, in full
+        assert {(r.sequence, r.piece) for r in op3_packing.nearest(seeds, rows, idf, 23.0, "<u2", blocks, shards).collect()} == want
+    groups = defaultdict(set)
+    for r in op3_packing._pack_pieces(rows, np.ones(50257), 23.0, 47, "<u2", 64).collect():
+        groups[r.sequence_id].add(r.doc_id)
+    assert sum(len({i // 2 for i in g}) == 1 for g in groups.values()) >= 36  # a window holds a pair
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (2, None, None, None), (2, 1, "assistant", "a:b\\ ####\n</turn> ### X: "), (None, 0, "user", "u"), (3, 0, "assistant", "same"), (3, 0, "assistant", "same")]
     rows += [(4, i, "assistant" if i % 2 else "user", f"turn {i} " * 20) for i in range(30)] + [(5, 0, "assistant", "word " * 900)]
