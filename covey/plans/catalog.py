@@ -227,7 +227,7 @@ def subgraph_features15(spark, sf):
 
 @query("svd_features")
 def svd_features(spark, sf):
-    return rounded(features.singular_values(_induced(spark, sf)[0]))
+    return rounded(features.singular_values(graph.induced_edges(views.network(spark, sf), views.brands(spark, sf))))
 
 
 @query("community_density", ["induced", "brand"], """WITH m AS (SELECT cid, count(*) AS m FROM induced WHERE weight > 0 GROUP BY 1), n AS (SELECT cid, count(*) AS nodes FROM brand GROUP BY 1)
@@ -629,7 +629,7 @@ def dense_score(f: dict[str, float]) -> float:
 
 
 def _candidates(spark, sf, method):
-    edges = views.copart(spark, sf)
+    edges = views.network(spark, sf)
     return search.grow(graph.adjacency(edges).select("node").distinct(), graph.adjacency(edges), dense_score, search.Growth(method=method, max_size=4, threshold=0.6, keep=16, seed=1))
 
 
@@ -659,13 +659,13 @@ def grow_annealing(spark, sf):
 
 @query("maximal_cliques")
 def maximal_cliques(spark, sf):
-    found = search.maximal_cliques(views.copart(spark, sf))
+    found = search.maximal_cliques(views.network(spark, sf))
     return found.select(F.array_join(F.col("members").cast("array<string>"), " ").alias("members"))
 
 
 @query("merge_overlapping")
 def merge_overlapping(spark, sf):
-    edges = views.copart(spark, sf)
+    edges = views.network(spark, sf)
     grown = merge.distinct_candidates(_candidates(spark, sf, "heaviest").select("members", "score"))
     merged = merge.merge_overlapping(grown, edges, 0.3, dense_score)
     return rounded(merged.select(F.array_join(F.col("members").cast("array<string>"), " ").alias("members"), "score"))
@@ -674,7 +674,7 @@ def merge_overlapping(spark, sf):
 @query("random_walks")
 def random_walks(spark, sf):
     plan = training.same_sizes(_basket_sizes(spark, sf).filter("size <= 5"), 0.02)
-    return training.random_walks(graph.adjacency(views.copart(spark, sf)), plan, seed=3, retries=2)
+    return training.random_walks(graph.adjacency(views.network(spark, sf)), plan, seed=3, retries=2)
 
 
 @query("train_and_test")

@@ -42,6 +42,11 @@ def copart(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")).filter(F.col("weight") >= least)
 
 
+def network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``src, dst, weight``: all parts that share an order, by the number of orders."""
+    return copart(spark, sf_dir, least=1)
+
+
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cid, node``: the parts of each brand."""
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("cid"), F.col("p_partkey").alias("node"))
