@@ -671,10 +671,14 @@ def merge_overlapping(spark, sf):
     return rounded(merged.select(F.array_join(F.col("members").cast("array<string>"), " ").alias("members"), "score"))
 
 
+def _walk_plan(spark, sf):
+    """``size, n``: negatives of all sizes of baskets, a tenth more than there are baskets."""
+    return training.same_sizes(_basket_sizes(spark, sf), 1.1)
+
+
 @query("random_walks")
 def random_walks(spark, sf):
-    plan = training.same_sizes(_basket_sizes(spark, sf).filter("size <= 5"), 0.02)
-    return training.random_walks(graph.adjacency(views.network(spark, sf)), plan, seed=3, retries=2)
+    return training.random_walks(graph.adjacency(views.network(spark, sf)), _walk_plan(spark, sf), seed=3)
 
 
 @query("train_and_test")

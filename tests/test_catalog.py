@@ -27,3 +27,11 @@ def test_searches_see_the_whole_network(spark, duck):
     held = {(x, y) for c in ends for x in c for y in c if x < y}
     single = want[want["weight"] == 1]
     assert held & set(zip(single["src"], single["dst"], strict=True))
+
+
+def test_walks_cover_all_baskets(spark, duck):
+    want = duck.execute("WITH k AS (SELECT count(DISTINCT l_partkey) AS size FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_partkey) >= 3) SELECT size, CAST(ceil(count(*) * CAST(1.1 AS DOUBLE)) AS BIGINT) AS n FROM k GROUP BY 1").df()
+    assert same_rows(catalog._walk_plan(spark, SF).toPandas(), want)
+    walks = catalog.QUERIES["random_walks"](spark, SF).toPandas()
+    reached = walks.groupby("gid").apply(lambda e: len({*e["src"], *e["dst"]})).value_counts()
+    assert reached.sum() == want["n"].sum() and reached.index.max() == want["size"].max()
