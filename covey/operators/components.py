@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import forget, stored
 
 
 class Forest:
@@ -60,4 +60,5 @@ def components(edges: DataFrame) -> DataFrame:
         now = known.agg(sign.alias("s")).first().s
         if now == before or not now[0]:
             return known.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before, known = now, stored(_stars(_stars(known, small=False), small=True))
+        before, last, known = now, known, stored(_stars(_stars(known, small=False), small=True))
+        forget(last)

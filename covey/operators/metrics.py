@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import sets
 from .components import components
 from .overlap import overlaps, sizes
+from .ranges import running_sums
 
 
 def _number(df: DataFrame, name: str) -> DataFrame:
@@ -231,13 +232,7 @@ def ranked_curve(scored: DataFrame) -> DataFrame:
     ranges of scores: sums within a range, and of whole ranges, a few rows each.
     """
     by_score = scored.groupBy("score").agg(F.sum("label").cast("long").alias("pos"), F.count("*").alias("all"))
-    parts = by_score.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id())
-    totals = parts.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("all").alias("a"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
-    offsets = totals.select("part", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("a").over(before), F.lit(0)).alias("a0"))
-    running = W.partitionBy("part").orderBy(F.desc("score"))
-    out = parts.select("part", "score", F.sum("pos").over(running).alias("p"), F.sum("all").over(running).alias("a")).join(offsets, "part")
-    out = out.select("score", (F.col("p") + F.col("p0")).alias("tp"), (F.col("a") + F.col("a0")).alias("n"))
+    out = running_sums(by_score, [F.desc("score")], {"tp": F.col("pos"), "n": F.col("all")}).select("score", "tp", "n")
     whole = by_score.agg(F.sum("pos").alias("total_p"), F.sum("all").alias("total"))
     out = out.crossJoin(whole)  # of one row
     return out.select("score", "tp", "n", (F.col("tp") / F.col("n")).alias("precision"), sets.ratio(F.col("tp"), F.col("total_p")).alias("recall"), sets.ratio(F.col("n") - F.col("tp"), F.col("total") - F.col("total_p")).alias("fpr"))
@@ -283,14 +278,8 @@ def edge_max_scores(induced: DataFrame, scores: DataFrame) -> DataFrame:
 
 def running_fdr(scored: DataFrame) -> DataFrame:
     """``id, score, fdr``: one less the part of positives among all rows up to each one, best first, by id on ties."""
-    order = [F.desc("score"), F.col("id")]
-    parts = scored.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    totals = parts.groupBy("part").agg(F.sum("label").alias("p"), F.count("*").alias("a"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
-    offsets = totals.select("part", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("a").over(before), F.lit(0)).alias("a0"))
-    running = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = parts.select("part", "id", "score", F.sum("label").over(running).alias("p"), F.count("*").over(running).alias("a")).join(offsets, "part")
-    return out.select("id", "score", (1 - (F.col("p") + F.col("p0")) / (F.col("a") + F.col("a0"))).alias("fdr"))
+    out = running_sums(scored, [F.desc("score"), F.col("id")], {"p": F.col("label"), "a": F.lit(1)})
+    return out.select("id", "score", (1 - F.col("p") / F.col("a")).alias("fdr"))
 
 
 def evaluate(known: DataFrame, predicted: DataFrame, share: float = 0.5) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sets
+from .ranges import percentile
 
 
 def sizes(membership: DataFrame, cid: str, name: str) -> DataFrame:
@@ -45,15 +46,15 @@ def jaccard_pairs(membership: DataFrame) -> DataFrame:
 
 def jaccard_threshold(membership: DataFrame) -> DataFrame:
     """One row: halfway from the first to the second quartile of the Jaccard coefficients above zero; 0 without any."""
-    q = F.percentile("jaccard", F.array(F.lit(0.25), F.lit(0.5)))
-    return jaccard_pairs(membership).agg(q.alias("q")).select(F.coalesce(F.col("q")[0] + 0.5 * (F.col("q")[1] - F.col("q")[0]), F.lit(0.0)).alias("threshold"))
+    q = percentile(jaccard_pairs(membership), "jaccard", [0.25, 0.5])
+    return q.select(F.coalesce(F.col("p0") + 0.5 * (F.col("p1") - F.col("p0")), F.lit(0.0)).alias("threshold"))
 
 
 def containment_threshold(membership: DataFrame) -> DataFrame:
     """One row: halfway from the 2nd to the 25th percentile of the larger containments above zero; 0 without any."""
     pairs = self_overlaps(membership).select(sets.largest_containment(F.col("c"), F.col("n1"), F.col("n2")).alias("v"))
-    q = F.percentile("v", F.array(F.lit(0.02), F.lit(0.25)))
-    return pairs.agg(q.alias("q")).select(F.coalesce(F.col("q")[0] + (F.col("q")[1] - F.col("q")[0]) / 2, F.lit(0.0)).alias("threshold"))
+    q = percentile(pairs, "v", [0.02, 0.25])
+    return q.select(F.coalesce(F.col("p0") + (F.col("p1") - F.col("p0")) / 2, F.lit(0.0)).alias("threshold"))
 
 
 def best_matches(pairs: DataFrame, of: str, by: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
 from .components import components
+from .ranges import percentile
 
 
 def independent_split(induced: DataFrame, membership: DataFrame, share: float = 0.7, seed: int = 0) -> DataFrame:
@@ -37,8 +38,8 @@ def same_sizes(positive: DataFrame, scale: float) -> DataFrame:
 
 def iqr_max_size(sizes: DataFrame, most: int | None = None) -> DataFrame:
     """One row: the smaller of the largest size and ``ceil(q3 + 4.5 (q3 - q1))``, and of ``most``."""
-    q = sizes.agg(F.percentile("size", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.max("size").alias("largest"))
-    fence = F.ceil(F.col("q")[1] + 4.5 * (F.col("q")[1] - F.col("q")[0])).cast("long")
+    q = percentile(sizes, "size", [0.25, 0.75]).crossJoin(F.broadcast(sizes.agg(F.max("size").alias("largest"))))  # of one row each
+    fence = F.ceil(F.col("p1") + 4.5 * (F.col("p1") - F.col("p0"))).cast("long")
     return q.select(F.least(fence, F.col("largest").cast("long"), *([F.lit(most).cast("long")] if most else [])).alias("max_size"))
 
 

@@ -5,9 +5,10 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from covey.functions import sets
-from covey.operators import features, graph, merge, metrics, overlap, search, training
+from covey.operators import features, graph, merge, metrics, overlap, ranges, search, training
 from covey.operators.components import Forest, components
 from covey.plans.catalog import dense_score as density
 from covey.sources import sinks, text
@@ -71,6 +72,32 @@ def test_zip_by_place(spark):
     assert all(r.l[1:] == r.r[1:] for r in text.zip_by_place(left, right, "a", "b").collect())
 
 
+def test_zip_by_place_whole(spark):
+    n = 500_000
+    left = spark.range(n).select((F.col("id") * 7919 % n).alias("a"), F.col("id").alias("x"))
+    right = spark.range(n).select((F.col("id") * 104729 % n * 2).alias("b"))
+    row = text.zip_by_place(left, right, "a", "b").agg(F.count("*").alias("n"), F.sum((F.col("a") * 2 != F.col("b")).cast("int")).alias("wrong"), F.countDistinct("place").alias("places")).first()
+    assert tuple(row) == (n, 0, n)
+
+
+def test_last_line_wins_over_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("u v 1\n")
+    (tmp_path / "b.txt").write_text("u v 2\n" + "# long\n" * 1000)
+    (tmp_path / "c.txt").write_text("v u 3\nx y\n")
+    a, b, c = (str(tmp_path / f"{x}.txt") for x in "abc")
+    for order, want in (([a, b, c], 3.0), ([c, b, a], 1.0), ([a, c, b], 2.0)):
+        assert {(r.src, r.dst): r.weight for r in graph.canonical_edges(text.read_edges(spark, order)).collect()}["u", "v"] == want
+        assert {(r.a, r.b): r.score for r in text.read_pair_scores(spark, order).collect()}["u", "v"] == want
+
+
+def test_ranges(spark):
+    rng = np.random.default_rng(3)
+    values = np.round(rng.normal(size=3000), 1)
+    table = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5)
+    assert np.allclose(list(ranges.percentile(table, "v", [0.02, 0.25, 0.5, 1.0]).first()), np.quantile(values, [0.02, 0.25, 0.5, 1.0]))
+    assert list(ranges.percentile(table.limit(0), "v", [0.5]).first()) == [None]
+
+
 def test_set_measures(spark):
     row = spark.sql("select array(1,2,3,4) a, array(3,4,5,6) b, cast(array() as array<int>) e")
     got = row.select(sets.jaccard_arrays(row.a, row.b).alias("x"), sets.jaccard_arrays(row.e, row.e).alias("y")).first()
