@@ -149,3 +149,66 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 500)
             texts = pa.array([unpack(x).decode() for x in part.column("text").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == "text" else part.column(c) for c in part.schema.names], part.schema.names)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of sorted batches, and where each group starts."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if kept and all(kept[-1].column(k)[-1] == batch.column(k)[0] for k in keys):
+            starts = _starts(batch, keys)
+            if len(starts) == 1:
+                kept.append(batch)
+                continue
+            cut = int(starts[-1])
+        else:
+            if kept:
+                yield _with_starts(kept, keys)
+                kept = []
+            cut = int(_starts(batch, keys)[-1])
+        if cut:
+            yield _with_starts([*kept, batch.slice(0, cut)], keys)
+            kept = []
+        kept.append(batch.slice(cut))
+    if kept:
+        yield _with_starts(kept, keys)
+
+
+def _starts(batch: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        column = batch.column(k)
+        column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).to_numpy(zero_copy_only=False)
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
+
+
+def _with_starts(batches: list[pa.RecordBatch], keys: list[str]) -> tuple[pa.Table, np.ndarray]:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    return table, _starts(table, keys)
+
+
+def joined(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words with a space after each, and where each word starts there; one more bound ends the last."""
+    size = words.end - words.start
+    place = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(place[-1], 0x20, np.uint8)
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(place[:-1], size) + within] = words.data[np.repeat(words.start, size) + within]
+    return out, place
+
+
+def codes(words: Words) -> np.ndarray:
+    """A number for each word, the same for the same bytes only: hashes number them, and the bytes are compared."""
+    _, first, code = np.unique(words.hash, return_index=True, return_inverse=True)
+    like = first[code]
+    size = words.end - words.start
+    if (size == size[like]).all():
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        if (words.data[np.repeat(words.start, size) + within] == words.data[np.repeat(words.start[like], size) + within]).all():
+            return code
+    number: dict[bytes, int] = {}
+    return np.array([number.setdefault(w, len(number)) for w in words.text(0, len(words.hash))], np.int64)

@@ -178,50 +178,10 @@ def close(n: np.ndarray, points: np.ndarray, a: np.ndarray, b: np.ndarray, thres
     return ok
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of sorted batches, and where each group starts."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if kept and all(kept[-1].column(k)[-1] == batch.column(k)[0] for k in keys):
-            starts = _starts(batch, keys)
-            if len(starts) == 1:
-                kept.append(batch)
-                continue
-            cut = int(starts[-1])
-        else:
-            if kept:
-                yield _with_starts(kept, keys)
-                kept = []
-            cut = int(_starts(batch, keys)[-1])
-        if cut:
-            yield _with_starts([*kept, batch.slice(0, cut)], keys)
-            kept = []
-        kept.append(batch.slice(cut))
-    if kept:
-        yield _with_starts(kept, keys)
-
-
-def _starts(batch: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
-    new = np.zeros(batch.num_rows, bool)
-    new[:1] = True
-    for k in keys:
-        column = batch.column(k)
-        column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).to_numpy(zero_copy_only=False)
-        new[1:] |= column[1:] != column[:-1]
-    return np.flatnonzero(new)
-
-
-def _with_starts(batches: list[pa.RecordBatch], keys: list[str]) -> tuple[pa.Table, np.ndarray]:
-    table = pa.Table.from_batches(batches).combine_chunks()
-    return table, _starts(table, keys)
-
-
 def _candidates(threshold: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        for table, starts in whole_groups(batches, ["key", "low", "high"]):
+        for table, starts in _words.whole_groups(batches, ["key", "low", "high"]):
             row, n = table["row"].to_numpy(), table["n"].to_numpy().astype(np.int64)
             raw = table["point"].to_pylist()
             groups = np.array([len(x) for x in raw])
@@ -273,7 +233,7 @@ def _verified(size: int, threshold: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, unpack = Forest(), zstandard.ZstdDecompressor().decompress
         p, q = threshold
-        for table, starts in whole_groups(batches, ["component", "low", "high"]):
+        for table, starts in _words.whole_groups(batches, ["component", "low", "high"]):
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
                 rows = table["row"].slice(a, b - a).to_pylist()
                 sets = shingles(pa.array([unpack(x).decode() for x in table["text"].slice(a, b - a).to_pylist()], pa.string()), size)

@@ -279,6 +279,56 @@ def test_substring_dedup(spark, tmp_path, group_anchors):
     assert not op7_substring_dedup.remove_repeats(docs.limit(0)).count()
 
 
+def test_substring_dedup_awkward_rows(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(25))
+    docs = stored_docs(spark, [(None, text), (4, text), (4, text), (3, "x " + text), (None, "b " * 5), (9, "\n".join(text.split()))], tmp_path / "d")
+    got = sorted(((r.row.doc_id, r.n_words, [(x.start, x.end) for x in r.repeats]) for r in op7_substring_dedup.remove_repeats(docs, 20).collect()), key=str)
+    assert got == sorted([(None, 25, []), (None, 5, []), (3, 26, [(1, 26)]), (4, 25, [(0, 25)]), (4, 25, [(0, 25)]), (9, 25, [(0, 25)])], key=str)
+
+
+def test_rows_keep_their_ids(spark, tmp_path):
+    rng = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [" ".join(f"u{rng.randint(0, 900)}" for _ in range(60)) + (" " + passage if k % 4 == 0 else "") for k in range(200)]
+    texts += texts[:30]
+    docs = stored_docs(spark, texts, tmp_path / "d")
+    split = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in split}
+    out = {"a": op7_substring_dedup.remove_repeats(docs).select("row.doc_id", "kept"), "b": op2_ngram_jaccard.near_duplicates(docs).select("doc_id", "component_id"), "c": op2_ngram_jaccard.drop_near_duplicates(docs).select("doc_id", "text")}
+    try:
+        for k, v in split.items():  # the scans now split otherwise than when the first tables were stored
+            spark.conf.set(k, v)
+        late = {k: sorted(map(tuple, df.collect())) for k, df in out.items()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [x for _, x in late["a"]] == [x for *_, x in kept_words(texts, 20)]
+    assert late["b"] == [(i, c) for i, _, c in jaccard_components(texts, 5, (80, 100))]
+    assert late["c"] == [(i, texts[i]) for i, _, c in jaccard_components(texts, 5, (80, 100)) if i == c]
+
+
+def test_suffix_tree():
+    rng = np.random.default_rng(9)
+    for least, letters in ((1, 2), (3, 2), (4, 3)):
+        sizes = rng.integers(0, 14, 9)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        code = rng.integers(0, letters, first[-1])
+        tree = op7_substring_dedup.SuffixTree(code, first, least)
+        places = defaultdict(list)
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            for i in range(a, b):
+                for j in range(i + least, b + 1):
+                    places[tuple(code[i:j])].append((i, None if j == b else code[j]))
+        # A node's words go on in two ways or more; the end of each segment is a way of its own.
+        want = {(len(w), frozenset(i for i, _ in at)) for w, at in places.items() if len(at) > 1 and (len({c for _, c in at}) > 1 or None in {c for _, c in at})}
+        assert {(depth, frozenset(leaves.tolist())) for depth, leaves in tree.nodes()} == want
+        assert tree.repeated().tolist() == sorted(i for w, at in places.items() if len(w) == least for i, _ in at[1:])
+    words = _words.split(pa.array(["a bb a", None, "bb c"]))
+    assert _words.codes(words).tolist()[0] == _words.codes(words).tolist()[2] and len(set(_words.codes(words).tolist())) == 3
+    words.hash[:] = 1  # all hashes collide
+    assert _words.codes(words).tolist() == [0, 1, 0, 1, 2]
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     pool, bad = [f"word{i}" for i in range(300)], ["moron", "trash", "clown", "scumbag"]
