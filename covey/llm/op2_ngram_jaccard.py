@@ -43,11 +43,11 @@ from ..operators.components import Forest, components
 from ..sources.scratch import stored
 from . import _words
 
-#: Entries of the table of shingle counts.
-SLOTS = 1 << 18
+#: Entries of the table of shingle counts for each row, and their bounds: the table is on the driver and in every task.
+SLOTS_PER_ROW, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 18, 1 << 22
 #: Members of a shard, or of a component, that meet at once.
 SHARD_BLOCK, TEXT_BLOCK = 1000, 400
-#: Points in a leaf and children of a node; groups up to a leaf are compared directly.
+#: Points in a leaf and children of a node; a shard up to a leaf is a tree of one leaf, whose points meet.
 LEAF, FANOUT = 16, 16
 #: Coordinates of a point: a power of two, about one for this many shingles, so that none exceeds a byte.
 SHINGLES_PER_GROUP, LEAST_GROUPS = 16, 32
@@ -68,12 +68,12 @@ def shingles(column: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def _slot_counts(size: int):
+def _slot_counts(size: int, slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in _words.slices(batches, "text"):
+        total = np.zeros(slots, np.int64)
+        for batch in _words.slices(_words.unpacked(batches), "text"):
             sets = shingles(batch.column("text"), size)
-            total += np.bincount((np.concatenate(sets) % SLOTS).astype(np.int64), minlength=SLOTS)
+            total += np.bincount((np.concatenate(sets) % slots).astype(np.int64), minlength=slots)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["slot", "n"])
 
@@ -82,9 +82,10 @@ def _slot_counts(size: int):
 
 def frequency_classes(texts: DataFrame, size: int) -> np.ndarray:
     """For each slot 0, or how many times as frequent as usual its shingles are, as a logarithm."""
-    rows = texts.select("text").mapInArrow(_slot_counts(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    table = rows.toArrow()  # at most SLOTS rows
-    n = np.zeros(SLOTS)
+    slots = min(max(LEAST_SLOTS, 1 << (SLOTS_PER_ROW * texts.count()).bit_length()), MOST_SLOTS)
+    rows = texts.select("text").mapInArrow(_slot_counts(size, slots), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    table = rows.toArrow()  # at most MOST_SLOTS rows
+    n = np.zeros(slots)
     n[table["slot"].to_numpy()] = table["n"].to_numpy()
     ratio = n / max(n.mean(), 16)
     return np.where(ratio > 4, np.clip(np.log2(np.maximum(ratio, 1)), 0, 40), 0).astype(np.uint8)
@@ -101,14 +102,14 @@ def _point(h: np.ndarray) -> bytes:
 def _points(size: int, threshold: tuple[int, int], classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = classes.value
-        for batch in _words.slices(batches, "text"):
+        for batch in _words.slices(_words.unpacked(batches), "text"):
             rows = []
             for h in shingles(batch.column("text"), size):
                 n = len(h)
                 if not n:
                     rows.append((0, 0, 0, None, [], []))
                     continue
-                own = frequent[(h % SLOTS).astype(np.int64)]
+                own = frequent[(h % np.uint64(len(frequent))).astype(np.int64)]
                 order = np.lexsort((h, own))[: n + threshold[0] * n // -threshold[1] + 1]
                 key, hot = h[order].view(np.int64), own[order] > 0
                 first, second = (int(_words.mix(h ^ np.uint64(salt)).sum().astype(np.int64)) for salt in (1, 2))
@@ -134,33 +135,39 @@ def _needed(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int]) -> np.ndar
 class Tree:
     """An R-tree over the points of one shard, packed by size and then by coordinates."""
 
-    def __init__(self, n: np.ndarray, points: np.ndarray, threshold: tuple[int, int]):
-        self.n, self.points, self.threshold = n, points, threshold
+    def __init__(self, n: np.ndarray, points: np.ndarray, threshold: tuple[int, int], leaf: int = LEAF, fanout: int = FANOUT):
+        self.n, self.points, self.threshold, self.fanout = n, points, threshold, fanout
         spread = np.argsort(-points.var(0), kind="stable")[:2]
-        tile = np.argsort(np.argsort(n, kind="stable"), kind="stable") // (LEAF * FANOUT)
-        self.order = np.lexsort((points[:, spread[-1]], points[:, spread[0]], tile))
-        self.leaves = [self.order[i : i + LEAF] for i in range(0, len(n), LEAF)]
-        self.top = np.stack([points[x].max(0) for x in self.leaves])
-        self.least = np.array([n[x].min() for x in self.leaves])
-        self.most = np.array([n[x].max() for x in self.leaves])
-        at = range(0, len(self.leaves), FANOUT)
-        self.node_top = np.stack([self.top[i : i + FANOUT].max(0) for i in at])
-        self.node_least = np.array([self.least[i : i + FANOUT].min() for i in at])
-        self.node_most = np.array([self.most[i : i + FANOUT].max() for i in at])
-
-    def _open(self, leaf: int, top: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+        tile = np.argsort(np.argsort(n, kind="stable"), kind="stable") // (leaf * fanout)
+        order = np.lexsort((points[:, spread[-1]], points[:, spread[0]], tile))
+        self.leaves = [order[i : i + leaf] for i in range(0, len(n), leaf)]
+        #: From the leaves up to the root's children: coordinate maxima, least and largest size of each node.
+        self.levels = [(np.stack([points[x].max(0) for x in self.leaves]), np.array([n[x].min() for x in self.leaves]), np.array([n[x].max() for x in self.leaves]))]
+        while len(self.levels[-1][1]) > fanout:
+            top, least, most = self.levels[-1]
+            at = range(0, len(least), fanout)
+            self.levels.append((np.stack([top[i : i + fanout].max(0) for i in at]), np.array([least[i : i + fanout].min() for i in at]), np.array([most[i : i + fanout].max() for i in at])))
+        self.visited = 0
+
+    def _near(self, leaf: int) -> np.ndarray:
+        """Leaves from ``leaf`` on that may hold a partner of its points, found from the root down."""
         p, q = self.threshold
-        bound = np.minimum(self.top[leaf], top).sum(1)
-        return (bound >= _needed(self.least[leaf], least, self.threshold)) & (q * most >= p * self.least[leaf]) & (q * self.most[leaf] >= p * least)
+        own_top, own_least, own_most = (x[leaf] for x in self.levels[0])
+        nodes = np.arange(len(self.levels[-1][1]))
+        for level in range(len(self.levels) - 1, -1, -1):
+            top, least, most = (x[nodes] for x in self.levels[level])
+            self.visited += len(nodes)
+            bound = np.minimum(own_top, top).sum(1)
+            nodes = nodes[(bound >= _needed(own_least, least, self.threshold)) & (q * most >= p * own_least) & (q * own_most >= p * least)]
+            if level:
+                nodes = (nodes[:, None] * self.fanout + np.arange(self.fanout)).ravel()
+                nodes = nodes[nodes < len(self.levels[level - 1][1])]
+        return nodes[nodes >= leaf]
 
     def pairs(self, apart) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs that pass the bound; ``apart(xs, ys)`` tells whether two leaves still have anything to link."""
         for i, xs in enumerate(self.leaves):
-            nodes = np.flatnonzero(self._open(i, self.node_top, self.node_least, self.node_most))
-            leaves = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            leaves = leaves[(leaves >= i) & (leaves < len(self.leaves))]
-            leaves = leaves[self._open(i, self.top[leaves], self.least[leaves], self.most[leaves])]
-            for j in leaves.tolist():
+            for j in self._near(i).tolist():
                 ys = self.leaves[j]
                 if apart(xs, ys):
                     a, b = np.repeat(xs, len(ys)), np.tile(ys, len(xs))
@@ -262,17 +269,26 @@ def _in_blocks(members: DataFrame, count: str, block: int) -> DataFrame:
     return blocks.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("blocks", "own", "other", count)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, text, none, rest``: rows with an id and their compressed text, stored; ``rest`` has the other columns."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("text").isNull().alias("none"), rest)
+    return stored(rows.mapInArrow(_words.packed, T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in rows.schema])))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """``row, doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``.
 
     Two rows link when their sets' Jaccard similarity is at least the fraction
-    ``threshold``.  ``docs`` has to be a table, or another plan that gives the
-    same rows in the same order each time.
+    ``threshold``.  Rows are numbered once and stored with their texts.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sc = docs.sparkSession.sparkContext
+    return _linked(_numbered(docs.select("doc_id", "text")), shingle, threshold)
+
+
+def _linked(rows: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+    sc = rows.sparkSession.sparkContext
     classes = sc.broadcast(frequency_classes(rows, shingle))
-    points = stored(rows.mapInArrow(_points(shingle, threshold, classes), "row long, doc_id long, n int, f1 long, f2 long, point binary, keys array<long>, hot_keys array<long>"))
+    points = stored(rows.select("row", "doc_id", "text").mapInArrow(_points(shingle, threshold, classes), "row long, doc_id long, n int, f1 long, f2 long, point binary, keys array<long>, hot_keys array<long>"))
     same = points.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("row").alias("row"))
     first = points.join(same.select("row").hint("shuffle_hash"), "row", "left_semi")
     # A set has something to meet in a shard if the next smaller or larger set there is of about its size.
@@ -290,7 +306,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     candidates = components(shards.mapInArrow(_candidates(threshold), "a long, b long"))
     members = candidates.unionByName(candidates.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "row")
     members = members.join(members.groupBy("component").agg(F.count("*").alias("members")), "component")
-    texts = rows.select("row", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_words.packed, "row long, text binary").join(_in_blocks(members, "members", TEXT_BLOCK).hint("shuffle_hash"), "row")
+    texts = rows.select("row", "text").join(_in_blocks(members, "members", TEXT_BLOCK).hint("shuffle_hash"), "row")
     texts = texts.select("component", "low", "high", "row", "text").repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "row")
     linked = components(texts.mapInArrow(_verified(shingle, threshold), "a long, b long"))
     # From representatives to all members of their classes, then the smallest id of each component.
@@ -303,12 +319,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row of each component of ``docs``: the first with the smallest id.  Rows without words stay."""
-    found = near_duplicates(docs, shingle, threshold)
+    rows = _numbered(docs)
+    found = _linked(rows, shingle, threshold)
     groups = found.filter("n_shingles > 0 and doc_id <=> component_id").groupBy("component_id").agg(F.min("row").alias("row")).select("row")
     kept = groups.unionByName(found.filter("n_shingles = 0").select("row"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").isNull().alias("none"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest"))
-    packed = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in rows.schema])
-    out = rows.mapInArrow(_words.packed, packed).join(kept.hint("shuffle_hash"), "row", "left_semi").mapInArrow(_words.unpacked, rows.schema)
+    kind = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in rows.schema])
+    out = rows.join(kept.hint("shuffle_hash"), "row", "left_semi").mapInArrow(_words.unpacked, kind)
     return out.select(*(F.when(~F.col("none"), F.col("text")).alias("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns))
 
 

@@ -128,6 +128,29 @@ def test_jaccard_null_ids(spark, tmp_path):
     assert got == sorted([(None, 2, 5), (5, 2, 5), (None, 1, None), (7, 0, 7), (7, 0, 7)], key=str)
 
 
+@pytest.mark.parametrize(("leaf", "fanout"), [(2, 2), (1, 3), (16, 16)])
+def test_r_tree(leaf, fanout):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 6, (12, 32))
+    points = np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.1), 0) for _ in range(12)])
+    n = points.sum(1)
+    tree = op2_ngram_jaccard.Tree(n, points, (9, 10), leaf, fanout)
+    assert len(tree.levels) >= (4 if leaf < 16 else 1)
+    got = [tuple(sorted(x)) for a, b in tree.pairs(lambda xs, ys: True) for x in zip(a.tolist(), b.tolist(), strict=True)]
+    want = {(i, j) for i, j in combinations(range(len(n)), 2) if 10 * min(n[i], n[j]) >= 9 * max(n[i], n[j]) and 19 * np.minimum(points[i], points[j]).sum() >= 9 * (n[i] + n[j])}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_jaccard_long_texts(spark, tmp_path):
+    rng = random.Random(12)
+    long = [f"w{rng.randint(0, 10**6)}" for _ in range(30_000)]
+    texts = [" ".join(long), " ".join([*long[:15_000], "new", *long[15_000:]]), " ".join(long[:15_000])]
+    docs = stored_docs(spark, texts, tmp_path / "d").withColumn("none", F.lit("clash")).withColumn("rest", F.lit("clash"))
+    assert [(r.doc_id, r.component_id) for r in op2_ngram_jaccard.near_duplicates(docs).orderBy("doc_id").collect()] == [(0, 0), (1, 0), (2, 2)]
+    kept = op2_ngram_jaccard.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.none, r.rest, len(r.text)) for r in kept.collect()) == [(i, "clash", "clash", len(texts[i])) for i in (0, 2)]
+
+
 def test_packing(spark):
     rng = random.Random(2)
     texts = [*awkward(rng, 30), "long text, " * 3000, "a<|endoftext|>b"]
