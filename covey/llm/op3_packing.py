@@ -3,46 +3,52 @@
 Documents become token ids and an end id.  Whole windows are cut off the front
 of long documents where they are tokenised; they fill a sequence each and never
 move again.  What remains of each document, shorter than a window, is a piece.
-The longest pieces, as many as the tokens fill windows, seed a sequence each.
-A seed asks with all its terms for its best unused pieces by BM25 (document
-frequencies of the whole corpus, a table no longer than the vocabulary): blocks
-of seeds meet every shard of pieces, and the best of all shards are merged.  So
-the shards bound a task's memory and hide nothing.  A piece that several seeds
-want goes to the best score first.  Neighbours fill the window in order of
-score; one that doesn't fit is cut to close the gap and its rest stays unused.
-Sequences with room ask again until they are full or nothing is unused.  When
-what is left fits one shard, one task ends it seed by seed.  The comparisons of
-seeds with pieces grow with the square of the corpus.
-
-Null and empty texts have the end id only.  Repeated rows and ids are packed
-once per row.  An empty table gives no rows; other columns are not read.
+
+1. Pieces are routed by content, so that neighbours meet.  A tree of k-means over
+   sketches of BM25 weights, fitted on a bounded sample, gives each piece a leaf;
+   leaves are numbered so that close ones follow each other.  Inside a leaf,
+   pieces are in order of a signature, the first of their tokens in two random
+   orders that favour rare ones, and copies stay together.
+2. Ranges of this order are sorted in tasks and cut into shards of about
+   ``shard_tokens`` tokens.  A hot group of copies fills shards of its own.
+3. Each shard has an inverted index with BM25 weights (document frequencies of the
+   whole corpus, a table no longer than the vocabulary).  The longest unused piece
+   is the next seed; it asks with all its terms, and its unused neighbours fill the
+   window in order of score.  One that doesn't fit is cut to close the gap, and its
+   rest stays unused.  So all but the last sequence of a shard are full.
+
+Work and memory grow with the corpus and not with its square.  The README has the
+share of whole-corpus neighbours that meet in a shard.
+
+Null and empty texts have the end id only.  Repeated rows and ids and null ids are
+packed once per row.  A text of any length is tokenised whole.  An empty table
+gives no rows; other columns of any name are not read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import stored
 from . import _words
 from .transducer import encoder
 
 FULL, REST, FREQUENCY = 0, 1, 2
-#: Tokens that one task ends with, about.
-SHARD_TOKENS = 1 << 20
-#: Blocks of seeds and shards of pieces that meet are so many times larger, as each is copied for every one of the other side.
-MEETING = 4
-#: Tokens of neighbours a seed is told of at a time, in its room, and how often they are dealt before it asks again.
-AHEAD, DEALS = 4, 6
+#: Tokens of a shard, about; and the most tasks that pack, beyond which a task packs several shards one after another.
+SHARD_TOKENS, MOST_TASKS = 1 << 20, 20_000
+#: The tree: pieces it is fitted on at most, coordinates of a sketch, children of a node, pieces of the sample in a leaf.
+SAMPLE, SKETCH, FANOUT, LEAF_SAMPLE = 20_000, 256, 8, 30
 K1, LENGTH_WEIGHT = 1.2, 0.75
 
+_PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PIECES = "kind byte, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
@@ -98,11 +104,10 @@ class Index:
         return np.bincount(np.concatenate([self.piece[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), minlength=self.n)
 
 
-def fill(pieces: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int, opened: list[tuple[np.ndarray, int]] = ()) -> Iterator[tuple[int, int, int, int, int]]:
+def fill(pieces: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """``piece, from, length, sequence, offset`` of every part placed; each token lies in one part.
 
-    ``opened`` are seeds and rooms of sequences to fill first.  A sequence has the
-    place of its seed among ``pieces``, then ``opened``.
+    A sequence has the place of its seed among ``pieces``.
     """
     if not pieces:
         return
@@ -129,9 +134,6 @@ def fill(pieces: list[np.ndarray], idf: np.ndarray, mean_length: float, window:
             room -= part[2]
             yield part
 
-    for i, (ids, room) in enumerate(opened):
-        if left.any():
-            yield from follow(ids, room, len(pieces) + i)
     for seed in np.argsort(-left, kind="stable").tolist():
         if left[seed]:
             ids = pieces[seed][start[seed] :]
@@ -140,165 +142,146 @@ def fill(pieces: list[np.ndarray], idf: np.ndarray, mean_length: float, window:
             yield from follow(ids, window - part[2], seed)
 
 
-def _nearest(idf: np.ndarray, mean_length: float, width: str):
-    def run(pieces: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(pieces) and len(seeds):
-            pieces = pieces.sort_values("piece", ignore_index=True)
-            index = Index([np.frombuffer(x, width) for x in pieces["ids"]], idf, mean_length)
-            length = pieces["length"].to_numpy()
-            for sequence, ids, room in zip(seeds["sequence"], seeds["ids"], seeds["room"], strict=True):
-                score = index.scores(np.frombuffer(ids, width))
-                many = 32
-                while True:
-                    at = np.arange(index.n) if many >= index.n else np.flatnonzero(score >= np.partition(score, index.n - many)[index.n - many])
-                    at = at[np.argsort(-score[at], kind="stable")]
-                    before = np.cumsum(length[at]) - length[at]
-                    if many >= index.n or before[-1] >= AHEAD * room:
-                        break
-                    many *= 4
-                at = at[before < AHEAD * room]
-                found.append(pd.DataFrame({"sequence": sequence, "piece": pieces["piece"].to_numpy()[at], "score": score[at], "length": length[at]}))
-        return pd.concat(found) if found else pd.DataFrame({"sequence": [], "piece": [], "score": [], "length": []})
+class Sketcher:
+    """Sketches of BM25 weights, and signatures, of many pieces at once."""
+
+    def __init__(self, idf: np.ndarray):
+        token = np.arange(len(idf), dtype=np.uint64)
+        mixed = _words.mix(token)
+        self.idf, self.slot = idf, (mixed % np.uint64(SKETCH)).astype(np.int64)
+        self.sign = np.where(mixed >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
+        #: Each token's places in random orders that favour rare tokens.
+        self.places = []
+        for salt in (1, 2):
+            u = (_words.mix(token ^ np.uint64(salt << 32)) >> np.uint64(11)).astype(np.float64) / 2.0**53
+            late = -np.log(u + 1e-18) / np.maximum(idf, 1e-9) ** 2
+            self.places.append(np.argsort(np.argsort(late, kind="stable"), kind="stable"))
+
+    def __call__(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors, and two signatures, of pieces of one token or more."""
+        owner = np.repeat(np.arange(len(pieces)), [len(x) for x in pieces])
+        key, tf = np.unique(owner * len(self.idf) + np.concatenate(pieces).astype(np.int64), return_counts=True)
+        owner, token = key // len(self.idf), key % len(self.idf)
+        weight = self.idf[token] * self.sign[token] * tf * (K1 + 1) / (tf + K1)
+        vectors = np.bincount(owner * SKETCH + self.slot[token], weight, len(pieces) * SKETCH).reshape(len(pieces), SKETCH)
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        first = np.searchsorted(owner, np.arange(len(pieces)))
+        return vectors.astype(np.float32), np.stack([np.minimum.reduceat(p[token], first) for p in self.places], 1)
+
+
+class Router:
+    """A tree of spherical k-means whose leaves are numbered so that close ones follow each other."""
+
+    def __init__(self, vectors: np.ndarray):
+        #: Of each inner node the centres of its children, and each child's node, or minus its leaf less one.
+        self.centres: list[np.ndarray] = []
+        self.children: list[np.ndarray] = []
+        self.leaves = 0
+        self._split(vectors)
+
+    def _split(self, vectors: np.ndarray) -> int:
+        parts = centres = None
+        if len(vectors) > LEAF_SAMPLE:
+            centres = vectors[np.random.default_rng(len(vectors)).choice(len(vectors), FANOUT, replace=False)]
+            for _ in range(8):
+                near = (vectors @ centres.T).argmax(1)
+                centres = np.stack([vectors[near == k].sum(0) if (near == k).any() else centres[k] for k in range(FANOUT)])
+                centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+            chain, rest = [0], set(range(1, FANOUT))
+            while rest:
+                chain.append(max(sorted(rest), key=lambda k: centres[chain[-1]] @ centres[k]))
+                rest.discard(chain[-1])
+            centres = centres[chain]
+            near = (vectors @ centres.T).argmax(1)
+            parts = [vectors[near == k] for k in range(FANOUT)]
+        if parts is None or max(len(x) for x in parts) == len(vectors):  # few pieces, or equal ones
+            self.leaves += 1
+            return -self.leaves
+        at = len(self.centres)
+        self.centres.append(centres)
+        self.children.append(np.zeros(FANOUT, np.int64))
+        for k, part in enumerate(parts):
+            self.children[at][k] = self._split(part)
+        return at
+
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        """The leaf of each vector."""
+        at = np.full(len(vectors), 0 if self.centres else -1)
+        while len(inner := np.unique(at[at >= 0])):
+            for node in inner.tolist():
+                own = np.flatnonzero(at == node)
+                at[own] = self.children[node][(vectors[own] @ self.centres[node].T).argmax(1)]
+        return -at - 1
+
+
+def _pieces_of(batch: pa.RecordBatch, width: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, width) for x in batch.column("ids").to_pylist()]
+
+
+def _sketched(shared, width: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = Sketcher(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                vectors, _ = sketch(_pieces_of(batch.slice(at, 1000), width))
+                yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), SKETCH).cast(pa.list_(pa.float32()))], ["vector"])
 
     return run
 
 
-def nearest(seeds: DataFrame, pieces: DataFrame, idf: np.ndarray, mean_length: float, width: str, blocks: int, shards: int) -> DataFrame:
-    """``sequence, piece, score, length``: of all ``pieces(piece, ids, length)`` the best of each of ``seeds(sequence, ids, room)``, until they fill its room ``AHEAD`` times."""
-
-    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, copies: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-
-    left = dealt(pieces.select("piece", "ids", "length"), "piece", "shard", shards, "block", blocks)
-    right = dealt(seeds.select("sequence", "ids", "room"), "sequence", "block", blocks, "shard", shards)
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_nearest(idf, mean_length, width), "sequence long, piece long, score double, length long")
-    order = W.partitionBy("sequence").orderBy(F.desc("score"), "piece")
-    before = F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    kept = found.withColumn("before", before).join(seeds.select("sequence", "room"), "sequence").filter(F.col("before") < AHEAD * F.col("room"))
-    return kept.select("sequence", "piece", "score", "length")
-
-
-def _deal(found: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``sequence, piece, from, take, at`` of the parts that seeds get of what they found, and ``sequence, got``.
-
-    A seed wants its neighbours in order of score until its room is full; a piece goes to
-    the best score first, and on to the next one as far as it was cut.
-    """
-    given = None
-    for deal in range(DEALS):
-        live = found.join(seeds.select("sequence", "room"), "sequence")
-        if given is None:
-            live = live.withColumns({"used": F.lit(0).cast("long"), "got": F.lit(0).cast("long")})
-        else:
-            live = live.join(given.groupBy("piece").agg(F.sum("take").alias("used")), "piece", "left").join(given.groupBy("sequence").agg(F.sum("take").alias("got")), "sequence", "left").fillna(0, ["used", "got"])
-        live = live.withColumn("left", F.col("length") - F.col("used")).filter("left > 0 and room > got")
-        own = W.partitionBy("sequence").orderBy(F.desc("score"), "piece")
-        earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        wanted = live.withColumn("want", F.least("left", F.col("room") - F.col("got") - earlier("left", own))).filter("want > 0")
-        rivals = W.partitionBy("piece").orderBy(F.desc("score"), "sequence")
-        got = wanted.withColumn("before", earlier("want", rivals)).withColumn("take", F.least("want", F.col("left") - F.col("before"))).filter("take > 0")
-        new = stored(got.select("sequence", "piece", (F.col("used") + F.col("before")).alias("from"), "take", (F.col("got") + earlier("take", own)).alias("at")))
-        if not new.limit(1).count():
-            break
-        given = new if given is None else given.unionByName(new)
-    return given, given.groupBy("sequence").agg(F.sum("take").alias("got"))
-
-
-_PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_SPLIT = f"{_PLACED}, piece long, ids binary"
-
-
-def _split(width: str):
-    """Parts of pieces as dealt, and their rests, which have no sequence."""
-    size = np.dtype(width).itemsize
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _routed(shared, router, width: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, leaf_of = Sketcher(shared.value), router.value
         for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                ids, used = np.frombuffer(r.ids, width), 0
-                for p in () if r.parts is None else r.parts:
-                    a, n = p["from"], p["take"]
-                    rows.append((r.doc_id, r.start + a, n, _crc(ids[a : a + n]), r.doc_tokens, p["sequence"], p["offset"], None, None))
-                    used = max(used, a + n)
-                if used < len(ids):
-                    rows.append((r.doc_id, r.start + used, len(ids) - used, 0, r.doc_tokens, None, None, r.piece, r.ids[used * size :]))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "piece", "ids"]).astype({c: "Int64" for c in ("doc_id", "sequence_id", "offset", "piece")})
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                vectors, signature = sketch(_pieces_of(part, width))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaf_of(vectors).astype(np.int32)), *(pa.array(signature[:, k].astype(np.int32)) for k in (0, 1))], [*part.schema.names, "leaf", "s1", "s2"])
 
     return run
 
 
-def _end(idf: np.ndarray, mean_length: float, window: int, width: str):
-    def run(pieces: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["doc_id", "start", "piece"], kind="stable", na_position="first").reset_index(drop=True)
-        seeds = pd.DataFrame({"sequence": [], "ids": [], "room": []}) if seeds.empty else seeds.sort_values("sequence", ignore_index=True)
-        own = [np.frombuffer(x, width) for x in pieces["ids"]]
-        opened = [(np.frombuffer(x, width), int(r)) for x, r in zip(seeds["ids"], seeds["room"], strict=True)]
-        parts = [(p, a, n, s, o, _crc(own[p][a : a + n])) for p, a, n, s, o in fill(own, idf, mean_length, window, opened)]
-        piece, start, length, sequence, offset, crc = (np.array(x, np.int64) for x in (zip(*parts, strict=True) if parts else [[]] * 6))
-        names = np.concatenate([pieces["piece"].to_numpy(np.int64), seeds["sequence"].to_numpy(np.int64)])
-        return pd.DataFrame(
-            {
-                "doc_id": pieces["doc_id"].array[piece],
-                "start": pieces["start"].to_numpy(np.int64)[piece] + start,
-                "length": length,
-                "ids_crc32": crc,
-                "doc_tokens": pieces["doc_tokens"].to_numpy(np.int64)[piece],
-                "sequence_id": names[sequence],
-                "offset": offset,
-            }
+def _packed(shared, mean_length: float, window: int, width: str, shard_tokens: int):
+    def shard(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        own = [np.frombuffer(x, width) for x in table["ids"].to_pylist()]
+        parts = [(p, a, n, s, o, _crc(own[p][a : a + n])) for p, a, n, s, o in fill(own, shared.value, mean_length, window)]
+        piece, start, length, sequence, offset, crc = (np.array(x, np.int64) for x in zip(*parts, strict=True))
+        column = {c: table[c].combine_chunks() for c in ("piece", "doc_id", "start", "doc_tokens")}
+        of = pa.array(piece)
+        return pa.RecordBatch.from_arrays(
+            [column["doc_id"].take(of), pa.array(column["start"].to_numpy()[piece] + start), pa.array(length), pa.array(crc), column["doc_tokens"].take(of), pa.array(column["piece"].to_numpy()[sequence]), pa.array(offset)],
+            ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, have = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                fits = int(np.searchsorted(np.cumsum(batch.column("length").to_numpy()), shard_tokens - have, "right"))
+                fits = max(fits, 0 if kept else 1)
+                if fits:
+                    kept.append(batch.slice(0, fits))
+                    have += int(kept[-1].column("length").to_numpy().sum())
+                if fits < batch.num_rows:
+                    yield shard(kept)
+                    kept, have = [], 0
+                batch = batch.slice(fits)
+        if kept:
+            yield shard(kept)
+
     return run
 
 
-def _new_seeds(unused: DataFrame, tokens: int, window: int) -> DataFrame:
-    """``piece`` of the longest pieces, about as many as ``tokens`` fill windows; of the last length a share by hash."""
-    want = -(-tokens // window)
-    # One row for each length, below a window, comes to the driver.
-    for length, n in sorted(unused.groupBy("length").count().collect(), reverse=True):
-        if n >= want:
-            break
-        want -= n
-    share = max(1, round(want / n * 1_000_000))
-    chosen = unused.filter((F.col("length") > length) | ((F.col("length") == length) & (F.pmod(F.xxhash64("piece"), F.lit(1_000_000)) < share))).select("piece")
-    return chosen if chosen.limit(1).count() else unused.agg(F.max_by("piece", F.struct("length", "piece")).alias("piece"))
-
-
-def _pack_pieces(rests: DataFrame, idf: np.ndarray, mean_length: float, window: int, width: str, shard_tokens: int) -> DataFrame:
-    """Parts of ``rests``; a sequence is named after the piece that seeds it."""
-    unused = stored(rests.select(F.monotonically_increasing_id().alias("piece"), "doc_id", "start", "length", "doc_tokens", "ids"))
-    opened = unused.limit(0).select(F.col("piece").alias("sequence"), "ids", F.col("length").alias("room"))
-    placed = []
-    width_bytes = np.dtype(width).itemsize
-    tokens_of = lambda df: df.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // width_bytes
-    while True:
-        tokens, asking = tokens_of(unused), tokens_of(opened)
-        if not tokens:
-            break
-        if tokens + asking <= shard_tokens:
-            one = lambda df: df.withColumn("all", F.lit(0)).groupBy("all")
-            placed.append(one(unused).cogroup(one(opened)).applyInPandas(_end(idf, mean_length, window, width), _PLACED))
-            break
-        if not asking:
-            chosen = stored(_new_seeds(unused, tokens, window))
-            seeds = unused.join(chosen, "piece", "left_semi")
-            opened = stored(seeds.select(F.col("piece").alias("sequence"), "ids", (F.lit(window) - F.col("length")).alias("room")))
-            parts = chosen.join(unused.select("piece", "length"), "piece").select(F.col("piece").alias("sequence"), "piece", F.lit(0).cast("long").alias("from"), F.col("length").alias("take"), F.lit(0).cast("long").alias("offset"))
-        else:
-            blocks, shards = (max(1, -(-n // (MEETING * shard_tokens))) for n in (asking, tokens))
-            given, got = _deal(stored(nearest(opened, unused, idf, mean_length, width, blocks, shards)), opened)
-            parts = given.join(opened.select("sequence", "room"), "sequence").select("sequence", "piece", "from", "take", (F.lit(window) - F.col("room") + F.col("at")).alias("offset"))
-            opened = stored(opened.join(got, "sequence", "left").select("sequence", "ids", (F.col("room") - F.coalesce("got", F.lit(0))).alias("room")).filter("room > 0"))
-        lists = parts.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("from", "take", "sequence", "offset"))).alias("parts"))
-        split = stored(unused.join(lists, "piece", "left").select("piece", "doc_id", "start", "doc_tokens", "ids", "parts").mapInPandas(_split(width), _SPLIT))
-        placed.append(split.filter("sequence_id is not null").select(*_PLACED.replace(" long", "").split(", ")))
-        unused = split.filter("sequence_id is null").select("piece", "doc_id", "start", "length", "doc_tokens", "ids")
-    out = placed[0] if placed else rests.sparkSession.createDataFrame([], _PLACED)
-    for more in placed[1:]:
-        out = out.unionByName(more)
-    return out
+def route(rests: DataFrame, idf: np.ndarray, width: str) -> DataFrame:
+    """``rests(piece, ids, ...)`` with ``leaf, s1, s2``, by which pieces with much in common come close."""
+    sc, n = rests.sparkSession.sparkContext, rests.count()
+    shared = sc.broadcast(idf)
+    # SAMPLE sketches of SKETCH floats come to the driver at most.
+    some = rests.filter(F.pmod(F.xxhash64("piece"), F.lit(1 << 30)) < math.ceil((1 << 30) * min(1.0, SAMPLE / max(n, 1)))).limit(SAMPLE)
+    found = some.select("ids").mapInArrow(_sketched(shared, width), "vector array<float>").toArrow()["vector"].combine_chunks()
+    router = sc.broadcast(Router(found.flatten().to_numpy().reshape(-1, SKETCH)))
+    return rests.mapInArrow(_routed(shared, router, width), T.StructType([*rests.schema.fields, *T.StructType.fromDDL("leaf int, s1 int, s2 int").fields]))
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -307,7 +290,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, s
     Sequences of whole windows have odd ids, those of pieces even ones.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pieces = stored(texts.mapInArrow(_tokenise(tokenizer, window, end_id), _PIECES))
+    pieces = stored(texts.mapInArrow(_tokenise(tokenizer, window, end_id), _PIECES).withColumn("piece", F.monotonically_increasing_id()))
     # At most one row for each entry of the vocabulary comes to the driver.
     frequency = pieces.filter(F.col("kind") == FREQUENCY).groupBy("doc_id").agg(F.sum("start").alias("n")).collect()
     rests = pieces.filter(F.col("kind") == REST)
@@ -318,9 +301,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, s
         n[token] = seen
     idf = np.log1p((n.max(initial=0) - n + 0.5) / (n + 0.5))  # every document has the end id, so its count is theirs
     width = "<u2" if size <= 1 << 16 else "<u4"
-    packed = _pack_pieces(rests, idf, total / max(1, count), window, width, shard_tokens).withColumn("sequence_id", F.col("sequence_id") * 2)
+    order = ["leaf", "s1", "s2", "piece"]
+    routed = stored(route(rests.select("piece", "doc_id", "start", "length", "doc_tokens", "ids"), idf, width))
+    tasks = min(max(1, -(-total // shard_tokens)), MOST_TASKS)
+    sorted_ = routed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("piece", "doc_id", "start", "length", "doc_tokens", "ids")
+    packed = sorted_.mapInArrow(_packed(docs.sparkSession.sparkContext.broadcast(idf), total / max(1, count), window, width, shard_tokens), _PACKED)
+    packed = packed.withColumn("sequence_id", F.col("sequence_id") * 2)
     full = pieces.filter(F.col("kind") == FULL).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("piece") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     return packed.unionByName(full)
 

@@ -187,20 +187,30 @@ def test_packing_puts_neighbours_together():
     assert all(len(g) == 1 for g in groups.values())
 
 
-def test_packing_searches_all_shards(spark):
+def test_packing_routes_neighbours_together(spark):
     rng = np.random.default_rng(1)
-    pieces = [np.concatenate([[100 + i // 2] * 3, rng.integers(1000, 9000, 20 + i % 2)]).astype("<u2") for i in range(80)]
-    idf = np.log1p(np.arange(50257) % 7)
-    rows = spark.createDataFrame([(i, i, 0, len(p), len(p), p.tobytes()) for i, p in enumerate(pieces)], "piece long, doc_id long, start long, length long, doc_tokens long, ids binary")
-    index = op3_packing.Index(pieces, idf, 23.0)
-    want = {(i, int(j)) for i in range(0, 80, 5) for j in np.argsort(-index.scores(pieces[i]), kind="stable")[:3]}
-    seeds = rows.filter("piece % 5 = 0").select(F.col("piece").alias("sequence"), "ids", F.lit(15).cast("long").alias("room"))
-    for blocks, shards in ((1, 1), (3, 16)):  # the same neighbours as over the whole corpus, in full
-        assert {(r.sequence, r.piece) for r in op3_packing.nearest(seeds, rows, idf, 23.0, "<u2", blocks, shards).collect()} == want
-    groups = defaultdict(set)
-    for r in op3_packing._pack_pieces(rows, np.ones(50257), 23.0, 47, "<u2", 64).collect():
-        groups[r.sequence_id].add(r.doc_id)
-    assert sum(len({i // 2 for i in g}) == 1 for g in groups.values()) >= 36  # a window holds a pair
+    topics = [rng.choice(np.arange(1000, 9000), 40, replace=False) for _ in range(40)]
+    pieces = [np.append(rng.choice(topics[i % 40], 24), 0).astype("<u2") for i in range(400)] + [np.arange(100, 140, dtype="<u2")] * 30
+    idf = np.ones(50257)
+    idf[0] = 1e-6
+    rows = spark.createDataFrame([(i, None, 0, len(p), len(p), p.tobytes()) for i, p in enumerate(pieces)], "piece long, doc_id long, start long, length long, doc_tokens long, ids binary").repartition(3)
+    order = [r.piece for r in op3_packing.route(rows, idf, "<u2").orderBy("leaf", "s1", "s2", "piece").collect()]
+    shard = np.empty(430, int)
+    shard[order] = np.arange(430) // 43
+    index = op3_packing.Index(pieces, idf, 26.0)
+    met = []
+    for i in range(0, 400, 10):
+        score = index.scores(pieces[i])
+        score[i] = -1
+        met.append((shard[np.argsort(-score, kind="stable")[:9]] == shard[i]).mean())
+    assert np.mean(met) > 0.6  # 0.1 by chance
+    assert len(set(np.flatnonzero(np.isin(order, range(400, 430))) - order.index(400))) == 30 and order.index(429) - order.index(400) == 29
+
+
+def test_packing_awkward_rows(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, None), (3, "same text"), (3, "same text")], "doc_id long, text string").withColumn("piece", F.lit("clash")).withColumn("leaf", F.lit(1))
+    rows = op3_packing.pack(docs, BPE, window=256).collect()
+    assert sorted((r.doc_id is None, r.length, r.sequence_id) for r in rows) == sorted((r.doc_id is None, r.doc_tokens, rows[0].sequence_id) for r in rows) and len(rows) == 4
 
 
 def test_chat(spark):
