@@ -16,7 +16,8 @@ neighbours give the inner nodes of its subtree.
    group up to the bound a task sorts the suffixes of its segments and builds the
    subtree.  In a larger one the prefix is lengthened to the whole window, named by
    a digest of 128 bits of its words.  Such a group is one deep node by itself, of
-   any number of leaves, which are ranked in shares and then the first of the shares.
+   any number of leaves: the first of each slice of a task go on, are ranked in
+   shares, and then the first of the shares.
 3. Of the leaves below each highest node of ``window`` words or more, all but the
    first one start words to remove; what overlaps or touches joins into maximal repeats.
 
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -199,7 +201,7 @@ def _subtrees(window: int):
 
 
 def _paths(window: int):
-    """Single suffixes with a digest of their first ``window`` words."""
+    """Single suffixes with a digest of their first ``window`` words: of equal ones in a slice the first, and without a digest the words of the others, which are to be removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _words.slices(_words.unpacked(batches), "text"):
@@ -208,9 +210,23 @@ def _paths(window: int):
                 continue
             data, place = _words.joined(words)
             raw = data.tobytes()
-            path = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(place[start].tolist(), place[start + window].tolist(), strict=True)]
-            where = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(path, pa.binary()), batch.column("doc_id").take(where), batch.column("row").take(where), pa.array((start - words.first[doc]).astype(np.int32))], ["path", "doc_id", "row", "start"])
+            path = np.array([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(place[start].tolist(), place[start + window].tolist(), strict=True)], "V16")
+            by_id = pc.sort_indices(pa.table({c: batch.column(c) for c in ("doc_id", "row")}), sort_keys=[("doc_id", "ascending"), ("row", "ascending")], null_placement="at_start").to_numpy()
+            turn = np.empty(batch.num_rows, np.int64)
+            turn[by_id] = np.arange(batch.num_rows)
+            order = np.lexsort((start, turn[doc]))  # a slice's windows as documents follow each other
+            _, first = np.unique(path[order].view([("a", "<u8"), ("b", "<u8")]), return_index=True)
+            head = np.zeros(len(order), bool)
+            head[order[first]] = True
+            gone = np.flatnonzero(~head)
+            new = np.flatnonzero(np.concatenate([[True], (doc[gone][1:] != doc[gone][:-1]) | (start[gone][1:] != start[gone][:-1] + 1)])) if len(gone) else gone
+            heads = np.flatnonzero(head)
+            at = np.concatenate([heads, gone[new]])
+            last = np.concatenate([start[heads], start[gone[np.append(new[1:], len(gone)) - 1]] if len(gone) else gone])
+            shift = words.first[doc[at]]
+            digests = pa.array([path[i].tobytes() for i in heads.tolist()] + [None] * len(new), pa.binary())
+            where = pa.array(doc[at])
+            yield pa.RecordBatch.from_arrays([digests, batch.column("doc_id").take(where), batch.column("row").take(where), pa.array((start[at] - shift).astype(np.int32)), pa.array((last - shift + window).astype(np.int32))], ["path", "doc_id", "row", "start", "end"])
 
     return run
 
@@ -264,11 +280,15 @@ def remove_repeats(docs: DataFrame, window: int = 20, group_anchors: int = GROUP
     leaf = ["doc_id", "row", "start"]
     segments = suffixes("small", _segments, "anchor long, doc_id long, row long, start int, segment string")
     small = segments.repartition("anchor").sortWithinPartitions("anchor", *leaf).mapInArrow(_subtrees(window), "row long, start int, end int")
-    # Copies of a frequent path are ranked in shares first; only the first of each share meet.
-    shares = suffixes("large", _paths, "path binary, doc_id long, row long, start int").withColumn("share", F.pmod(F.xxhash64("row"), F.lit(SHARES))).withColumn("leaf", F.row_number().over(W.partitionBy("path", "share").orderBy(*leaf)))
+    # Of a frequent path's copies only the first of each slice is ranked, in shares first; only the first of each share meet.
+    large = stored(suffixes("large", _paths, "path binary, doc_id long, row long, start int, end int"))
+    shares = large.filter("path is not null").withColumn("share", F.pmod(F.xxhash64("row"), F.lit(SHARES))).withColumn("leaf", F.row_number().over(W.partitionBy("path", "share").orderBy(*leaf)))
     heads = shares.filter("leaf = 1").drop("leaf").withColumn("leaf", F.row_number().over(W.partitionBy("path").orderBy(*leaf)))
-    large = shares.filter("leaf > 1").select("row", "start").unionByName(heads.filter("leaf > 1").select("row", "start"))
-    gone = small.unionByName(large.withColumn("end", F.col("start") + window)).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    parts = [small, large.filter("path is null"), shares.filter("leaf > 1"), heads.filter("leaf > 1")]
+    spans = parts[0]
+    for part in parts[1:]:
+        spans = spans.unionByName(part.select("row", "start", "end"))
+    gone = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     found = texts.join(gone.hint("shuffle_hash"), "row", "left").select("rest", "text", "gone")
     out = T.StructType([T.StructField("row", rows.schema["rest"].dataType), *T.StructType.fromDDL("text string, n_words long, repeats array<struct<start: long, end: long>>, kept string")])
     return found.mapInArrow(_removed, out)
