@@ -44,7 +44,7 @@ from ..sources.scratch import stored
 from . import _words
 
 #: Entries of the table of shingle counts for each row, and their bounds: the table is on the driver and in every task.
-SLOTS_PER_ROW, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 18, 1 << 22
+SLOTS_PER_ROW, LEAST_SLOTS, MOST_SLOTS = 4, 1 << 18, 1 << 22
 #: Members of a shard, or of a component, that meet at once.
 SHARD_BLOCK, TEXT_BLOCK = 1000, 400
 #: Points in a leaf and children of a node; a shard up to a leaf is a tree of one leaf, whose points meet.
