@@ -69,14 +69,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``limit`` bytes of ``column``, at least one row each."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``limit`` bytes of ``column`` and ``rows`` rows at most, at least one row each."""
     for batch in batches:
         _, offsets = buffers(batch.column(column))
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
-            to = min(max(to, at + 1), batch.num_rows)
+            to = min(max(to, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
 

@@ -5,11 +5,13 @@ length with logarithmic counts and unit norm.  Linear support vector machines
 separate every two families, and every two languages of one family; votes, then
 margins, decide.  The score is the logistic of the margins of both steps.
 
-Learning takes about ``TRAIN_PER_LANGUAGE`` rows of each language at most, chosen
-by the hash of their ids.  Nulls and texts without a letter are ``und`` with
-score 0.  Null or empty languages teach nothing.  With nothing to learn from all
-are ``und``; a single language is predicted for all other texts.  Repeated rows
-are judged one by one.
+Learning takes ``TRAIN_PER_LANGUAGE`` rows of each language at most, and
+``TRAIN_ROWS`` of all; those with the smallest hashes of id and text, equal rows once.  Nulls and
+texts without a letter are ``und`` with score 0.  Null languages teach nothing, an
+empty one is a language like others.  With nothing to learn from all are ``und``; a
+single language is predicted for all other texts.  Repeated rows are judged one by
+one.  A text of any length is read whole.  An empty table gives no rows; other
+columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _words
 
-#: Rows of each language to learn from, about, at most.
-TRAIN_PER_LANGUAGE = 1_000
+#: Rows to learn from, of each language and of all, at most: their features come to the driver.
+TRAIN_PER_LANGUAGE, TRAIN_ROWS = 1_000, 16_000
+#: Texts whose features are computed at once.
+SLICE_ROWS = 1_000
 #: Length of the feature vector.
 SLOTS = 2048
 #: Lengths of the byte n-grams.
@@ -69,18 +74,23 @@ def features(column: pa.Array) -> np.ndarray:
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _words.slices(batches, "text", 1 << 19):
+    for batch in _words.slices(batches, "text", 1 << 19, SLICE_ROWS):
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(features(batch.column("text")).astype(np.float32)), pa.list_(pa.float32()))], ["lang", "x"])
 
 
 def train_ids(docs: DataFrame, eligible) -> DataFrame:
-    """``doc_id, lang`` of about TRAIN_PER_LANGUAGE eligible rows of each language."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.coalesce("lang", F.lit("")) != "") & eligible)
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    """``doc_id, lang, text`` of at most TRAIN_PER_LANGUAGE eligible rows of each language and TRAIN_ROWS of all."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & eligible)
+    known = known.withColumn("h", F.xxhash64("doc_id", "text"))
+    sizes = {r.lang: r["count"] for r in known.select("lang", "h").distinct().groupBy("lang").count().collect()}  # a row for each language
+    each = min(TRAIN_PER_LANGUAGE, TRAIN_ROWS // max(len(sizes), 1))
     share = F.lit(0.0)
     for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, TRAIN_PER_LANGUAGE / n)).otherwise(share)
-    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+        share = F.when(F.col("lang") == lang, min(1.0, (1.3 * each + 50) / n)).otherwise(share)
+    # The hash thins each language to a few more rows than are wanted, the rest is cut by rank.
+    some = known.filter(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
+    return some.withColumn("place", place).filter(F.col("place") <= each).select("doc_id", "lang", "text")
 
 
 class Machines:
@@ -121,7 +131,7 @@ class Machines:
 
 def plane(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 20) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss, by dual coordinate descent; positive for ``y`` = 1."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
     rng, alpha, w = np.random.default_rng(0), np.zeros(len(x)), np.zeros(x.shape[1])
     square = (x**2).sum(1) + 0.5 / cost
     for _ in range(rounds):
@@ -140,7 +150,7 @@ def fit(train: DataFrame) -> Machines | None:
     languages = sorted(set(known.tolist()))
     if not languages:
         return None
-    x = rows["x"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, SLOTS)
+    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, SLOTS)
     groups: dict[str, list[str]] = {}
     for lang in languages:
         groups.setdefault(family(lang), []).append(lang)
@@ -155,7 +165,7 @@ def fit(train: DataFrame) -> Machines | None:
 
 def _predictions(machines: Machines | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _words.slices(batches, "text"):
+        for batch in _words.slices(batches, "text", rows=SLICE_ROWS):
             lang, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             rows = np.flatnonzero(batch.column("letters").to_numpy(zero_copy_only=False)) if machines else []
             if len(rows):

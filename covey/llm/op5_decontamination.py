@@ -7,14 +7,17 @@ pattern skips all positions that contain it.  Where the shift is nothing, the
 block's hash names the bucket of patterns that end with it, and these are
 compared with the text word by word.
 
-The patterns of one pass are of bounded size; a larger benchmark is dealt into
-several passes whose hits are merged.  Null texts have no words and null item
-ids take no part.  Repeated document rows are judged one by one.  With an empty
-benchmark nothing is hit.
+The items of one pass are of bounded size and broadcast; a worker compiles them
+once.  A larger benchmark is dealt into several passes whose hits are merged.  Null
+and empty texts have no words, and null item ids take no part; repeated items and
+ids count once.  Repeated document rows are judged one by one, and a text of any
+length is read whole.  With an empty benchmark nothing is hit; an empty table gives
+no rows.  Other columns of any name are carried along in ``row``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,20 +34,24 @@ PASS_BYTES = 8 << 20
 
 
 class Patterns:
-    """All patterns of one length."""
+    """All patterns of one length: runs of the benchmark's words from ``at`` on."""
 
-    def __init__(self, words: list[tuple[bytes, ...]], items: list[int], hashes: list[np.ndarray], length: int):
-        self.words, self.items, self.length = words, np.array(items), length
+    def __init__(self, words: _words.Words, raw: bytes, place: np.ndarray, at: np.ndarray, items: np.ndarray, length: int):
+        self.raw, self.place, self.hash, self.at, self.items, self.length = raw, place, words.hash, at, items, length
         self.block = min(2, length)
         self.stride = length - self.block + 1
-        self.hashes = np.stack(hashes)
-        blocks = np.stack([_words.grams(row, self.block) for row in self.hashes])
-        self.mask = np.uint64((1 << max(16, (4 * blocks.size).bit_length())) - 1)
+        blocks = _words.grams(words.hash, self.block)
+        self.mask = np.uint64((1 << max(16, (4 * len(at)).bit_length())) - 1)
         self.shift = np.full(int(self.mask) + 1, min(self.stride, 255), np.uint8)
         for j in range(self.stride):
-            np.minimum.at(self.shift, blocks[:, j] & self.mask, min(self.stride - 1 - j, 255))
-        order = np.argsort(blocks[:, -1], kind="stable")
-        self.suffix, self.order = blocks[order, -1], order
+            np.minimum.at(self.shift, blocks[at + j] & self.mask, min(self.stride - 1 - j, 255))
+        last = blocks[at + self.stride - 1]
+        self.order = np.argsort(last, kind="stable")
+        self.suffix = last[self.order]
+
+    def text(self, pattern: int) -> bytes:
+        """The words of a pattern, with a space after each."""
+        return self.raw[self.place[self.at[pattern]] : self.place[self.at[pattern] + self.length]]
 
     def find(self, words: _words.Words) -> tuple[np.ndarray, np.ndarray]:
         """First words and pattern numbers of all occurrences."""
@@ -69,9 +76,9 @@ class Patterns:
         fits[fits] = whole[start[fits]]
         start, pattern = start[fits], pattern[fits]
         for j in range(self.length):
-            same = words.hash[start + j] == self.hashes[pattern, j]
+            same = words.hash[start + j] == self.hash[self.at[pattern] + j]
             start, pattern = start[same], pattern[same]
-        sure = [tuple(words.text(s, s + self.length)) == self.words[p] for s, p in zip(start.tolist(), pattern.tolist(), strict=True)]
+        sure = [b" ".join([*words.text(s, s + self.length), b""]) == self.text(p) for s, p in zip(start.tolist(), pattern.tolist(), strict=True)]
         sure = np.array(sure, bool)
         return start[sure], pattern[sure]
 
@@ -79,25 +86,40 @@ class Patterns:
 def compile_patterns(items: list[tuple[str, str]], window: int) -> list[Patterns]:
     """Patterns of ``(item, text)``, by length; item ``i`` is known by its place in the list."""
     words = _words.split(pa.array([t for _, t in items], pa.string()), _words.NOT_ALNUM, lower=True)
-    by_length: dict[int, tuple[list, list, list]] = defaultdict(lambda: ([], [], []))
-    for i in range(len(items)):
-        a, b = int(words.first[i]), int(words.first[i + 1])
-        size = min(window, b - a)
-        for at in range(a, b - size + 1) if size else ():
-            for kept, x in zip(by_length[size], (tuple(words.text(at, at + size)), i, words.hash[at : at + size]), strict=True):
-                kept.append(x)
-    return [Patterns(*lists, length) for length, lists in sorted(by_length.items())]
+    data, place = _words.joined(words)
+    raw = data.tobytes()
+    count = np.diff(words.first)
+    out = []
+    for length in np.unique(np.minimum(count[count > 0], window)).tolist():
+        own = np.flatnonzero(count >= window if length == window else count == length)
+        many = count[own] - length + 1
+        at = np.repeat(words.first[own] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        out.append(Patterns(words, raw, place, at, np.repeat(own, many), length))
+    return out
+
+
+#: What this worker has compiled last, by broadcast.
+_compiled: dict[tuple[object, int], list[Patterns]] = {}
+
+
+def _patterns_of(items, window: int) -> list[Patterns]:
+    """The compiled patterns of broadcast items, once for each worker."""
+    key = (items.value[0], window)
+    if key not in _compiled:
+        _compiled.clear()
+        _compiled[key] = compile_patterns(items.value[1], window)
+    return _compiled[key]
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(items: list[tuple[str, str]], window: int):
+def _scan(items, window: int):
     """Adds one pass's hits to the spans and items that earlier passes found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = compile_patterns(items, window)
-        names = [name for name, _ in items]
+        groups = _patterns_of(items, window)
+        names = [name for name, _ in items.value[1]]
         for batch in _words.slices(batches, "text"):
             words = _words.split(batch.column("text"), _words.NOT_ALNUM, lower=True)
             edge = np.zeros(len(words.start) + 1, np.int64)
@@ -148,7 +170,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     )
     for turn in range(passes):
         share = sorted(map(tuple, dealt.filter(F.col("turn") == turn).select("item", "text").collect()))
-        out = (stored(out) if turn else out).mapInArrow(_scan(share, window), out.schema)
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, share))  # no more than pass_bytes, about
+        out = (stored(out) if turn else out).mapInArrow(_scan(shared, window), out.schema)
     return out
 
 

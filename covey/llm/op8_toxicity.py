@@ -1,24 +1,28 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Four small machines read the words of a clause side by side, and their product
-is the grammar:
+The lexical transducer maps words to symbols: INSULT with a weight, THREAT, TARGET,
+NEGATION, REPORT or nothing.  Its insults, words and word beginnings, are learned
+from labelled texts.  Three transducers read the symbols of a clause:
 
-* the lexical transducer maps words to INSULT or THREAT with a weight; its
-  entries, words and word beginnings, are learned from labelled texts,
-* the target machine remembers a person addressed a few words back,
-* the negation machine remembers a negation a few words back,
-* the reporting machine remembers a verb of saying in the clause.
+* the target machine tells whether a person was addressed a few words back,
+* the negation machine whether something was negated a few words back,
+* the reporting machine whether a verb of saying came before in the clause.
 
-Each insult or threat so becomes a matched pattern: plain or aimed at somebody,
-negated or not, reported or not.  A text's features are the weights of its
-matched clauses by pattern, and a logistic regression weighs the patterns.
+They are composed into one machine whose states are the pairs that can be reached
+and whose outputs add up.  Each insult or threat becomes a matched pattern by the
+output of the state it is read in: plain or aimed at somebody, negated or not,
+reported or not.  A text's features are the weights of its matched clauses by
+pattern, and a logistic regression weighs the patterns.
 
 Learning takes at most ``TRAIN_ROWS`` labelled rows, those with the smallest
-hashes of their ids.  A labelled text's features leave out what it adds to the
-lexicon itself.  Repeated label rows of an id count once (toxic if any is), null
-ids and labels not at all; repeated documents are scored one by one.  Null and
-empty texts have no clauses and get the score of that.  Without labels of both
-kinds every score is 0.
+hashes of their ids, and the lexicon the ``LEXICON`` most telling terms of at least
+``LEAST_TOXIC`` toxic texts.  A labelled text's features leave out what it adds to
+the lexicon itself.  Repeated label rows of an id count once (toxic if any is), null
+ids and labels not at all; of documents with one id the first text in order teaches,
+and all are scored.  Null and empty texts have no clauses and get the score of that;
+a text of any length is read whole.  Without labels of both kinds every score is 0.
+An empty table gives no rows.  Other columns are carried along; one called ``score``
+is replaced by the result.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ from . import _words
 
 #: Labelled rows to learn from, and entries of the lexicon, at most.
 TRAIN_ROWS, LEXICON = 20_000, 5_000
+#: Toxic texts that a term of the lexicon occurs in, at least.
+LEAST_TOXIC = 3
 #: Bytes of the word beginnings that are candidates for the lexicon.
 BEGINNINGS = [4, 5, 6, 7]
 #: How many words after it a target or negation still counts.
@@ -50,7 +56,8 @@ REPORTS = ["said", "says", "say", "called", "wrote", "reported", "claimed", "sag
 THREATS = ["kill", "hurt", "destroy", "shoot", "stab", "beat", "burn", "töten", "umbringen", "tuer", "frapper", "matar", "golpear"]
 
 CLAUSE_ENDS = b".,;:!?\n"
-INSULT, THREAT, TARGET, NEGATION, REPORT = range(1, 6)
+NOTHING, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+SYMBOLS = 6
 #: plain or aimed, asserted or negated, direct or reported; then how many matched, the largest weight, and threats.
 N_FEATURES = 11
 
@@ -78,6 +85,53 @@ def _odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> n
     return np.log(toxic / (n_toxic + 1)) - np.log(clean / (n_clean + 1)) - 1.5 * np.sqrt(1 / toxic + 1 / clean)
 
 
+class Machine:
+    """A deterministic transducer over symbols: ``step[state, symbol]`` is the next state, ``mark[state]`` what it puts out there."""
+
+    def __init__(self, step: np.ndarray, mark: np.ndarray):
+        self.step, self.mark = step, mark
+
+    @classmethod
+    def recent(cls, symbol: int, reach: int, mark: int) -> Machine:
+        """Puts out ``mark`` while ``symbol`` was at most ``reach`` symbols back; state ``k`` above 0 has it ``reach - k`` symbols behind the last."""
+        step = np.repeat(np.maximum(np.arange(reach + 1) - 1, 0)[:, None], SYMBOLS, 1)
+        step[:, symbol] = reach
+        return cls(step, np.where(np.arange(reach + 1) > 0, mark, 0))
+
+    @classmethod
+    def seen(cls, symbol: int, mark: int) -> Machine:
+        """Puts out ``mark`` once ``symbol`` has occurred."""
+        step = np.repeat(np.arange(2)[:, None], SYMBOLS, 1)
+        step[:, symbol] = 1
+        return cls(step, np.array([0, mark]))
+
+    def composed(self, other: Machine) -> Machine:
+        """Both machines side by side, in the states that are reached; their outputs add up."""
+        number, pairs, step = {(0, 0): 0}, [(0, 0)], []
+        for a, b in pairs:
+            row = []
+            for symbol in range(SYMBOLS):
+                to = int(self.step[a, symbol]), int(other.step[b, symbol])
+                if to not in number:
+                    number[to] = len(pairs)
+                    pairs.append(to)
+                row.append(number[to])
+            step.append(row)
+        return Machine(np.array(step), np.array([self.mark[a] + other.mark[b] for a, b in pairs]))
+
+    def idle(self, longest: int) -> np.ndarray:
+        """The state after so many words without a symbol, up to ``longest``, from each state."""
+        out = [np.arange(len(self.step))]
+        for _ in range(longest):
+            out.append(self.step[out[-1], NOTHING])
+        return np.stack(out, 1)
+
+
+def clause_machine() -> Machine:
+    """Bit 1: aimed at somebody, bit 2: negated, bit 4: reported."""
+    return Machine.recent(TARGET, TARGET_REACH, 1).composed(Machine.recent(NEGATION, NEGATION_REACH, 2)).composed(Machine.seen(REPORT, 4))
+
+
 class Grammar:
     """The compiled machines; ``weights`` by term as learned, and without one toxic or clean text."""
 
@@ -87,6 +141,8 @@ class Grammar:
             ends = np.cumsum([len(w) for w in words], dtype=np.int64)
             return _words.hash_spans(data, ends - [len(w) for w in words], ends) if words else np.zeros(0, np.uint64)
 
+        self.machine = clause_machine()
+        self.idle = self.machine.idle(max(TARGET_REACH, NEGATION_REACH))  # later words without a symbol change nothing
         self.by_length: list[tuple[int, np.ndarray, np.ndarray]] = []
         for n in (0, *BEGINNINGS):  # 0: whole words
             own = [i for i, t in enumerate(terms) if (t.endswith(b"*") and len(t) == n + 1 if n else not t.endswith(b"*"))]
@@ -127,21 +183,17 @@ class Grammar:
         clause = ends[words.start]
         doc_of = np.repeat(np.arange(len(column)), np.diff(words.first))
         live = np.flatnonzero(code)
-        before = (-1, -1)
-        target = negation = -1_000_000
-        reported = 0
+        step, mark, idle = self.machine.step.tolist(), self.machine.mark.tolist(), self.idle.tolist()
+        longest = len(idle[0]) - 1
+        before, last, state = (-1, -1), 0, 0
         for i, c, d, k in zip(live.tolist(), code[live].tolist(), doc_of[live].tolist(), clause[live].tolist(), strict=True):
-            if (d, k) != before:  # a clause begins: every machine is in its first state
-                before, target, negation, reported = (d, k), -1_000_000, -1_000_000, 0
-            if c == TARGET:
-                target = i
-            elif c == NEGATION:
-                negation = i
-            elif c == REPORT:
-                reported = 1
+            if (d, k) != before:  # a clause begins in the first state
+                before, state = (d, k), 0
             else:
+                state = idle[state][min(i - last - 1, longest)]
+            pattern, last, state = mark[state], i, step[state][c]
+            if c in (INSULT, THREAT):
                 w = max(weight[variant[d], i], 0.0)
-                pattern = (i - target <= TARGET_REACH) + 2 * (i - negation <= NEGATION_REACH) + 4 * reported
                 out[d, pattern] += w
                 out[d, 8] += w > 0
                 out[d, 9] = max(out[d, 9], w)
@@ -175,9 +227,9 @@ def _scores(grammar: Grammar | None, weights: np.ndarray, bias: float):
 
 
 def score_toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with a column ``score``, learned from ``labels(doc_id, toxic)`` and the texts of ``train_docs(doc_id, text)``."""
+    """``docs`` with the column ``score``, in place of one of that name, learned from ``labels(doc_id, toxic)`` and the texts of ``train_docs(doc_id, text)``."""
     ids = F.broadcast(_train_ids(labels))  # no more than TRAIN_ROWS
-    train = stored(train_docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"]))
+    train = stored(train_docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
     by_label = {bool(r.toxic): r["count"] for r in train.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
     n_toxic, n_clean = by_label.get(True, 0), by_label.get(False, 0)
     columns = [c for c in docs.columns if c != "score"]
@@ -185,7 +237,7 @@ def score_toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame) ->
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in texts.schema) + ", score double"
     if not n_toxic or not n_clean:
         return texts.mapInArrow(_scores(None, np.zeros(0), 0.0), schema)
-    counts = train.select("text", "toxic").mapInArrow(_term_counts, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("toxic >= 3")
+    counts = train.select("text", "toxic").mapInArrow(_term_counts, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= LEAST_TOXIC)
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1)) - 1.5 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     chosen = counts.withColumn("odds", odds).filter("odds >= 1").orderBy(F.desc("odds"), "term").limit(LEXICON).collect()
     toxic, clean = (np.array([r[c] for r in chosen], np.float64) for c in ("toxic", "clean"))

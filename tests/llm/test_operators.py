@@ -254,6 +254,10 @@ def test_decontamination(spark):
                         hit.update(range(a, a + m))
                         names.add(str(item))
             assert got[i] == (len(w), len(hit), sorted(names))
+    twice = op5_decontamination.find_contamination(docs.unionByName(docs), bench.unionByName(bench), 10)
+    assert sorted((r.row.doc_id, r["items"]) for r in twice.collect()) == sorted((i, got[i][2]) for i in got for _ in range(2))
+    long = op5_decontamination.find_contamination(docs_of(spark, ["z " * 100_000 + items[3][1]]), bench.filter("item_id = 3"), 10).first()
+    assert long["items"] == ["3"] and long.n_words > 100_000
     assert op5_decontamination.find_contamination(docs, bench.limit(0)).filter("size(spans) > 0").count() == 0
 
 
@@ -387,6 +391,41 @@ def test_toxicity(spark):
     assert [int(np.flatnonzero(r[:8])[0]) for r in x] == [0, 1, 2, 0, 5]
 
 
+def test_clause_machine():
+    machine, rng = op8_toxicity.clause_machine(), random.Random(13)
+    assert len(machine.step) <= 5 * 4 * 2
+    for _ in range(300):
+        clause = [rng.choice([0, 0, 0, op8_toxicity.INSULT, op8_toxicity.TARGET, op8_toxicity.NEGATION, op8_toxicity.REPORT]) for _ in range(rng.randint(1, 14))]
+        state = 0
+        for i, c in enumerate(clause):
+            near = lambda symbol, reach: symbol in clause[max(i - reach, 0) : i]  # noqa: E731, B023
+            want = near(op8_toxicity.TARGET, 4) + 2 * near(op8_toxicity.NEGATION, 3) + 4 * near(op8_toxicity.REPORT, i)
+            assert machine.mark[state] == want
+            state = machine.step[state, c]
+    grammar = op8_toxicity.Grammar([b"moron"], np.ones((3, 1)))
+    pool = ["moron", "you", "not", "said", "x", "y", "kill", "x,", "y."]
+    for _ in range(60):  # whole texts, gaps and clauses against a plain reading
+        words = [rng.choice(pool) for _ in range(40)]
+        want, clause = np.zeros(8), []
+        for w in words:
+            bare = w.rstrip(",.")
+            if bare in ("moron", "kill"):
+                want[("you" in clause[-4:]) + 2 * ("not" in clause[-3:]) + 4 * ("said" in clause)] += 1
+            clause.append(bare)
+            if w != bare:
+                clause = []
+        assert np.allclose(grammar.features(pa.array([" ".join(words)]), np.zeros(1, int))[0, :8], np.log1p(want))
+
+
+def test_toxicity_awkward_rows(spark):
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, toxic int")
+    texts = [("scumbag moron " if i < 20 else "fine ") + f"word{i}" for i in range(40)]
+    docs = docs_of(spark, [*texts, (0, "another text"), (0, "zz"), (None, "scumbag"), (50, "word " * 50_000)])
+    runs = [sorted((str(r.doc_id), r.row, r.n, r.score) for r in op8_toxicity.score_toxicity(d, d, labels).collect()) for d in (docs, docs.repartition(7))]
+    assert np.allclose([r[3] for r in runs[0]], [r[3] for r in runs[1]]) and len(runs[0]) == 44 and all(r[1:3] == ("x", 1) for r in runs[0])
+    assert not op8_toxicity.score_toxicity(docs.limit(0), docs, labels).count()
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/", "<p>é</p>"), (2, "http://b/", "<p>é</p>"), (3, None, None), (4, "x", ""), (5, "y\nz", "<a>\r\n\r\n"), (None, "n", "<p>é</p>"), (9, "z", "w" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit(1)).repartition(3)
@@ -418,6 +457,31 @@ def test_language(spark):
     assert {r.lang_pred for r in op10_language_id.identify(docs, op10_language_id.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_sample_and_votes(spark, monkeypatch):
+    monkeypatch.setattr(op10_language_id, "TRAIN_PER_LANGUAGE", 30)
+    rows = [(1, "same text", "en")] * 300 + [(i, f"text {i}", "de") for i in range(400)] + [(9, "leer", ""), (9, "leer", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"h": F.lit("clash"), "place": F.lit("clash")})
+    kept = op10_language_id.train_ids(docs, F.lit(True)).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in kept}.keys() == {"en", "de", ""} and all(r["count"] <= 30 for r in kept)
+    rng = np.random.default_rng(2)
+    names = ["en", "de", "nl", "fr", "es", "xx"]
+    groups = {"germanic": ["de", "en", "nl"], "romance": ["es", "fr"], "xx": ["xx"]}
+    pairs = [*combinations(sorted(groups), 2), *(p for g in groups.values() for p in combinations(g, 2))]
+    machines = op10_language_id.Machines(names, {p: (rng.normal(size=6), float(rng.normal())) for p in pairs})
+    x = rng.normal(size=(50, 6))
+
+    def winner(v, of):
+        won = {k: [0, 0.0] for k in of}
+        for a, b in combinations(of, 2):
+            m = float(v @ machines.planes[a, b][0] + machines.planes[a, b][1])
+            won[b if m > 0 else a][0] += 1
+            won[a][1] -= m
+            won[b][1] += m
+        return max(of, key=lambda k: tuple(won[k]))
+
+    assert machines.predict(x)[0].tolist() == [winner(v, groups[winner(v, sorted(groups))]) for v in x]
+
+
 def test_no_query_reads_its_answer():
     source = (Path(op10_language_id.__file__).parent / "op10_language_id.py").read_text()
     assert '"lang"' not in source.split("def _predictions")[1].split("def op10")[0]
