@@ -19,6 +19,7 @@ from ..functions import sets
 from .components import components
 from .overlap import overlaps, sizes
 from .ranges import running_sums
+from ..sources.scratch import stored
 
 
 def _number(df: DataFrame, name: str) -> DataFrame:
@@ -282,19 +283,20 @@ def running_fdr(scored: DataFrame) -> DataFrame:
     return out.select("id", "score", (1 - F.col("p") / F.col("a")).alias("fdr"))
 
 
-def evaluate(known: DataFrame, predicted: DataFrame, share: float = 0.5) -> DataFrame:
-    """``metric, value`` of all overlap metrics of ``known(kid, node)`` and ``predicted(pid, node)``."""
-    pairs = overlaps(known, predicted)
+def evaluate(known: DataFrame, predicted: DataFrame, share: float = 0.5, without: tuple[str, ...] = ()) -> DataFrame:
+    """``metric, value`` of all overlap metrics of ``known(kid, node)`` and ``predicted(pid, node)`` but the blocks ``without``."""
+    pairs = stored(overlaps(known, predicted))
     k, p = sizes(known, "kid", "n"), sizes(predicted, "pid", "n")
     blocks = {
-        "matched": matched_precision_recall(pairs, k, p, share),
-        "unbiased": unbiased_accuracy(pairs, k, p),
-        "best_f1": best_match_f1(pairs, k, p),
-        "matching": matching_metrics(pairs, k, p).drop("exact"),
-        "affinity": maximum_matching_ratio(pairs, k, p),
-        "size_weighted": size_weighted(pairs, k, p),
-        "clustering": clustering_accuracy(pairs, k, p),
+        "matched": lambda: matched_precision_recall(pairs, k, p, share),
+        "unbiased": lambda: unbiased_accuracy(pairs, k, p),
+        "best_f1": lambda: best_match_f1(pairs, k, p),
+        "matching": lambda: matching_metrics(pairs, k, p).drop("exact"),
+        "affinity": lambda: maximum_matching_ratio(pairs, k, p),
+        "size_weighted": lambda: size_weighted(pairs, k, p),
+        "clustering": lambda: clustering_accuracy(pairs, k, p),
     }
+    blocks = {name: block() for name, block in blocks.items() if name not in without}
     tall = [df.select(F.explode(F.map_from_arrays(F.array(*(F.lit(f"{name}.{c}") for c in df.columns)), F.array(*(F.col(c).cast("double") for c in df.columns)))).alias("metric", "value")) for name, df in blocks.items()]
     out = tall[0]
     for df in tall[1:]:

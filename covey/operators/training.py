@@ -103,7 +103,7 @@ def seeds(edges_nodes: DataFrame, mode: str, k: int | None = None, known: DataFr
         return edges_nodes.select("node").distinct().orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(k or 1)
     if mode == "all_nodes_known_comp":
         return edges_nodes.select("node").distinct().join(known.select("node").distinct(), "node", "left_semi")
-    raise ValueError(f"no seed mode {mode}; cliques come from covey.operators.search.maximal_cliques")
+    raise ValueError(f"no seed mode {mode}; the cliques of covey.operators.search.maximal_cliques go to grow as they are")
 
 
 def deal(seeds_: DataFrame, parts: int) -> DataFrame:

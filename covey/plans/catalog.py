@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators import features, graph, merge, metrics, models, overlap, reporting, search, training
 from ..sources.text import FEATURES
-from . import views
+from ..sources.scratch import stored
+from . import detect, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -629,8 +630,10 @@ def dense_score(f: dict[str, float]) -> float:
 
 
 def _candidates(spark, sf, method):
-    edges = views.network(spark, sf)
-    return search.grow(graph.adjacency(edges).select("node").distinct(), graph.adjacency(edges), dense_score, search.Growth(method=method, max_size=4, threshold=0.6, keep=16, seed=1))
+    """Communities grown from all nodes, up to the size that the spread of basket sizes allows."""
+    neighbours = stored(graph.adjacency(views.network(spark, sf)))
+    largest = training.iqr_max_size(_basket_sizes(spark, sf)).first().max_size or 3
+    return search.grow(neighbours.select("node"), neighbours, dense_score, search.Growth(method=method, max_size=int(largest), threshold=0.6, seed=1))
 
 
 def _texts(candidates):
@@ -681,6 +684,14 @@ def random_walks(spark, sf):
     return training.random_walks(graph.adjacency(views.network(spark, sf)), _walk_plan(spark, sf), seed=3)
 
 
+@query("detect_communities")
+def detect_communities(spark, sf):
+    known = views.known(spark, sf).withColumnRenamed("kid", "cid")
+    edges = stored(views.network(spark, sf))
+    found, split, _ = detect.detect(edges, known)
+    return rounded(detect.measure(found, known, split, without=("matching",)))
+
+
 @query("train_and_test")
 def train_and_test(spark, sf):
     columns = FEATURES[:5]

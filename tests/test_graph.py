@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from covey.functions import sets
 from covey.operators import features, graph, merge, metrics, overlap, ranges, search, training
 from covey.operators.components import Forest, components
+from covey.plans import detect
 from covey.plans.catalog import dense_score as density
 from covey.sources import sinks, text
 
@@ -160,6 +161,68 @@ def test_toy_end_to_end(spark):
     assert values["matched.f1"] == 1.0 and values["matching.f1"] == pytest.approx(1.0) and values["clustering.acc"] == pytest.approx(1.0)
 
 
+def traced(neighbours, score, p, seed_members, began_score):
+    """A plain reading of one search without random moves, with all draws at the given chance."""
+    members, edges, previous, shown, idle, made = list(seed_members), {}, began_score, began_score, 0, 1
+    weight = {(r.node, r.nbr): r.weight for r in neighbours.collect()}
+    greedy, limit = p.method in ("heaviest", "top"), p.max_size - len(members)
+    within = lambda m: {(a, b): weight[a, b] for a, b in combinations(sorted(m), 2) if (a, b) in weight}
+    while len(members) < p.max_size if greedy else made < limit:
+        around = {}
+        for a in members:
+            for (x, y), w in weight.items():
+                if x == a and y not in members:
+                    around[y] = max(w, around.get(y, 0))
+        if not around:
+            break
+        value = {x: score(search.subgraph_features([*members, x], within([*members, x]))) for x in around}
+        x = min(around, key=lambda x: (-around[x] if p.method == "heaviest" else -value[x], x))
+        if value[x] < p.threshold:
+            break
+        if greedy or value[x] >= previous or p.accept >= 1:
+            members.append(x)
+        idle = 0 if value[x] > previous else idle + 1
+        if not greedy and idle > p.patience:
+            break
+        previous = shown = value[x]
+        made += 1
+    return tuple(sorted(members)), round(shown, 9)
+
+
+@pytest.mark.parametrize("method", ["heaviest", "top", "metropolis"])
+@pytest.mark.parametrize("accept", [-1.0, 1.0])
+def test_searches_equal_a_plain_reading(spark, method, accept):
+    rng = np.random.default_rng(8)
+    pairs = sorted({(f"n{a:02}", f"n{b:02}") for a, b in rng.integers(0, 16, (60, 2)) if a < b})
+    edges = spark.createDataFrame([(a, b, float(rng.integers(1, 9))) for a, b in pairs], "src string, dst string, weight double").cache()
+    neighbours = graph.adjacency(edges)
+    p = search.Growth(method=method, max_size=8, threshold=0.45, explore=0.0, accept=accept, patience=2)
+    got = {r.seed: (tuple(r.members), round(r.score, 9)) for r in search.grow(neighbours.select("node"), neighbours, density, p).collect()}
+    start = {r.node: (r.node, r.nbr) for r in graph.starting_edges(neighbours).collect()}
+    assert got == {x: traced(neighbours, density, p, m, 0.0) for x, m in start.items()}
+    cliques = search.maximal_cliques(edges).filter("size(members) = 3").cache()
+    got = sorted((tuple(r.members), round(r.score, 9)) for r in search.grow(None, neighbours, density, p, cliques).collect())
+    assert got == sorted(traced(neighbours, density, p, r.members, 1.0) for r in cliques.collect()) and got
+
+
+def test_share_of_the_frontier(spark):
+    neighbours = graph.adjacency(spark.createDataFrame([("a", f"x{i}", float(i)) for i in range(1, 9)] + [("x1", "x8", 1.0)], "src string, dst string, weight double"))
+    p = search.Growth(method="top", max_size=3, threshold=0.1, explore=0.0)
+    kept = lambda p: search.grow(neighbours.select("node").filter("node = 'a'"), neighbours, density, p).first().members
+    assert kept(p) == ["a", "x1", "x8"] and "x1" not in kept(search.Growth(**{**p.__dict__, "share": 0.3, "share_from": 2}))
+
+
+def test_detects_communities(spark):
+    groups = [[f"{k}{i}" for i in range(n)] for k, n in zip("abcdefghij", [4, 3, 5, 4, 3, 5, 4, 6, 3, 4], strict=True)]
+    pairs = [(x, y, 5.0) for g in groups for x, y in combinations(g, 2)] + [(g[0], h[-1], 0.2) for g, h in zip(groups, groups[1:])]
+    edges = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in pairs], "src string, dst string, weight double").cache()
+    found, split, scorer = detect.detect(edges, members_of(spark, groups), detect.Job(negatives=2.0))
+    assert sorted(tuple(r.members) for r in found.collect()) == sorted(tuple(sorted(g)) for g in groups)
+    values = {(r.scope, r.variant, r.metric): r.value for r in detect.measure(found, members_of(spark, groups), split).collect()}
+    assert values["both", "all", "matched.f1"] == 1.0 and values["both", "known", "matching.f1"] == pytest.approx(1.0)
+    assert {s for s, *_ in values} == {"train", "test", "both"} and len(scorer.weights) == 18
+
+
 @pytest.mark.parametrize("method", ["heaviest", "metropolis", "annealing"])
 def test_growth_is_repeatable(spark, method):
     neighbours = graph.adjacency(edges_of(spark, [p for g in TOY for p in g] + [("a1", "b1"), ("b3", "c1")]))
