@@ -189,8 +189,7 @@ def traced(neighbours, score, p, seed_members, began_score):
     return tuple(sorted(members)), round(shown, 9)
 
 
-@pytest.mark.parametrize("method", ["heaviest", "top", "metropolis"])
-@pytest.mark.parametrize("accept", [-1.0, 1.0])
+@pytest.mark.parametrize(("method", "accept"), [("heaviest", 1.0), ("top", 1.0), ("metropolis", -1.0), ("metropolis", 1.0)])
 def test_searches_equal_a_plain_reading(spark, method, accept):
     rng = np.random.default_rng(8)
     pairs = sorted({(f"n{a:02}", f"n{b:02}") for a, b in rng.integers(0, 16, (60, 2)) if a < b})
