@@ -43,8 +43,8 @@ from ..operators.components import Forest, components
 from ..sources.scratch import stored
 from . import _words
 
-#: Entries of the table of shingle counts for each row, and their bounds: the table is on the driver and in every task.
-SLOTS_PER_ROW, LEAST_SLOTS, MOST_SLOTS = 4, 1 << 18, 1 << 22
+#: Entries of the table of shingle counts, which is on the driver and in every task.
+SLOTS = 1 << 19
 #: Members of a shard, or of a component, that meet at once.
 SHARD_BLOCK, TEXT_BLOCK = 1000, 400
 #: Points in a leaf and children of a node; a shard up to a leaf is a tree of one leaf, whose points meet.
@@ -68,12 +68,12 @@ def shingles(column: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def _slot_counts(size: int, slots: int):
+def _slot_counts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int64)
+        total = np.zeros(SLOTS, np.int64)
         for batch in _words.slices(_words.unpacked(batches), "text"):
             sets = shingles(batch.column("text"), size)
-            total += np.bincount((np.concatenate(sets) % slots).astype(np.int64), minlength=slots)
+            total += np.bincount((np.concatenate(sets) % SLOTS).astype(np.int64), minlength=SLOTS)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["slot", "n"])
 
@@ -82,10 +82,9 @@ def _slot_counts(size: int, slots: int):
 
 def frequency_classes(texts: DataFrame, size: int) -> np.ndarray:
     """For each slot 0, or how many times as frequent as usual its shingles are, as a logarithm."""
-    slots = min(max(LEAST_SLOTS, 1 << (SLOTS_PER_ROW * texts.count()).bit_length()), MOST_SLOTS)
-    rows = texts.select("text").mapInArrow(_slot_counts(size, slots), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    table = rows.toArrow()  # at most MOST_SLOTS rows
-    n = np.zeros(slots)
+    rows = texts.select("text").mapInArrow(_slot_counts(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    table = rows.toArrow()  # at most SLOTS rows
+    n = np.zeros(SLOTS)
     n[table["slot"].to_numpy()] = table["n"].to_numpy()
     ratio = n / max(n.mean(), 16)
     return np.where(ratio > 4, np.clip(np.log2(np.maximum(ratio, 1)), 0, 40), 0).astype(np.uint8)
