@@ -45,7 +45,7 @@ FULL, REST, FREQUENCY = 0, 1, 2
 #: Tokens of a shard, about; and the most tasks that pack, beyond which a task packs several shards one after another.
 SHARD_TOKENS, MOST_TASKS = 1 << 20, 20_000
 #: The tree: pieces it is fitted on at most, coordinates of a sketch, children of a node, pieces of the sample in a leaf.
-SAMPLE, SKETCH, FANOUT, LEAF_SAMPLE = 20_000, 256, 8, 30
+SAMPLE, SKETCH, FANOUT, LEAF_SAMPLE = 8_000, 128, 8, 30
 K1, LENGTH_WEIGHT = 1.2, 0.75
 
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
