@@ -7,8 +7,6 @@ overlap count too.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -189,24 +187,12 @@ def threshold_curve(pairs: DataFrame, known: DataFrame, scored: DataFrame, share
 
 
 def cliques(membership: DataFrame, key: str, k: int) -> DataFrame:
-    """``key, nodes``: all subsets of ``k`` members of each community, as sorted arrays."""
-    kind = membership.schema[key].dataType.simpleString()
-    node = membership.schema["node"].dataType.simpleString()
-    lists = membership.groupBy(key).agg(F.array_sort(F.collect_set("node")).alias("members")).filter(F.size("members") >= k)
-
-    def explode(batches):
-        for batch in batches:
-            rows, of = [], []
-            for cid, members in zip(batch[key], batch["members"], strict=True):
-                for subset in combinations(list(members), k):
-                    of.append(cid)
-                    rows.append(list(subset))
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame({key: of, "nodes": rows})
-                        rows, of = [], []
-            yield pd.DataFrame({key: of, "nodes": rows})
-
-    return lists.mapInPandas(explode, f"{key} {kind}, nodes array<{node}>")
+    """``key, n1 … nk``: all subsets of ``k`` members of each community, in the order of nodes, by ``k - 1`` joins on the community."""
+    own = membership.select(key, "node").distinct()
+    out = own.select(key, F.col("node").alias("n1"))
+    for i in range(2, k + 1):
+        out = out.join(own.select(key, F.col("node").alias(f"n{i}")), key).filter(F.col(f"n{i}") > F.col(f"n{i - 1}"))
+    return out
 
 
 def clique_precision_recall(known: DataFrame, predicted: DataFrame, k: int, pseudocount: float = 1e-5, excluded: DataFrame | None = None) -> DataFrame:
@@ -215,17 +201,53 @@ def clique_precision_recall(known: DataFrame, predicted: DataFrame, k: int, pseu
     A predicted subset is right if a known community holds it; one inside a
     community of ``excluded(kid, node)`` isn't counted as wrong.
     """
-    p, g = cliques(predicted, "pid", k).select("nodes").distinct(), cliques(known, "kid", k).select("nodes").distinct()
-    right = p.join(g, "nodes", "left_semi").agg(F.count("*").alias("tp"))
-    wrong = p.join(g, "nodes", "left_anti")
+    nodes = [f"n{i}" for i in range(1, k + 1)]
+    held = lambda rows, key, name: cliques(rows, key, k).select(*nodes, F.lit(1).alias(name))
+    sides = held(predicted, "pid", "p").unionByName(held(known, "kid", "g"), allowMissingColumns=True)
     if excluded is not None:
-        wrong = wrong.join(cliques(excluded, "kid", k).select("nodes").distinct(), "nodes", "left_anti")
-    missed = g.join(p, "nodes", "left_anti").agg(F.count("*").alias("fn"))
-    row = right.crossJoin(wrong.agg(F.count("*").alias("fp"))).crossJoin(missed)
+        sides = sides.unionByName(held(excluded, "kid", "x"), allowMissingColumns=True)
+    else:
+        sides = sides.withColumn("x", F.lit(None).cast("int"))
+    # Each subset is counted once, with the sides that hold it; copies combine before the shuffle.
+    seen = sides.groupBy(*nodes).agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("p", "g", "x")))
+    number = lambda hit, name: F.coalesce(F.sum(hit.cast("long")), F.lit(0)).alias(name)
+    p, g, x = (F.col(c) == 1 for c in ("p", "g", "x"))
+    row = seen.agg(number(p & g, "tp"), number(p & ~g & ~x, "fp"), number(g & ~p, "fn"))
     e = F.lit(pseudocount)
     return row.select("tp", "fp", "fn", ((F.col("tp") + e) / (F.col("tp") + F.col("fp") + e)).alias("precision"), ((F.col("tp") + e) / (F.col("tp") + F.col("fn") + e)).alias("recall"))
 
 
+def clique_curve(known: DataFrame, predicted: DataFrame, pseudocount: float = 1e-5) -> DataFrame:
+    """``k, tp, fp, fn, precision, recall, n_communities`` for ``k`` from 2 to the largest prediction.
+
+    ``n_communities`` is the number of predictions with ``k`` members or more.
+    Once no subset of two sizes in a row is shared, none of a larger size is, and
+    those sizes have zeros, and no ``fp`` and ``fn``, without being counted.
+    """
+    n = sizes(predicted, "pid", "n")
+    largest = n.agg(F.max("n")).first()[0] or 1
+    spark, rows = known.sparkSession, []
+    while len(rows) < largest - 1 and not (len(rows) > 1 and rows[-1][1] == rows[-2][1] == 0):
+        k = len(rows) + 2
+        rows.append((k, *clique_precision_recall(known, predicted, k, pseudocount).first()))
+    rows += [(k, 0, None, None, 0.0, 0.0) for k in range(len(rows) + 2, largest + 1)]
+    curve = spark.createDataFrame(rows, "k int, tp long, fp long, fn long, precision double, recall double")
+    at_least = n.select(F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))).alias("k")).groupBy("k").agg(F.count("*").alias("n_communities")) if largest > 1 else None
+    return curve.withColumn("n_communities", F.lit(0).cast("long")) if at_least is None else curve.join(at_least, "k")
+
+
+def clique_summary(curve: DataFrame) -> DataFrame:
+    """One row: mean precision and recall over sizes, plain and weighted by communities, and the mean and harmonic mean of the F1 of all sizes (0 if one is 0)."""
+    f1 = sets.harmonic_mean(F.col("precision"), F.col("recall"))
+    w = F.col("n_communities")
+    row = curve.withColumn("f1", f1).agg(
+        F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("grand_mean"),
+        (F.sum(F.col("precision") * w) / F.sum(w)).alias("weighted_precision"), (F.sum(F.col("recall") * w) / F.sum(w)).alias("weighted_recall"),
+        F.min("f1").alias("least"), F.count("*").alias("k"), F.sum(F.when(F.col("f1") > 0, 1 / F.col("f1"))).alias("inverse"),
+    )
+    return row.withColumn("grand_f1", F.when(F.col("least") > 0, F.col("k") / F.col("inverse")).otherwise(F.lit(0.0))).drop("least", "k", "inverse")
+
+
 def ranked_curve(scored: DataFrame) -> DataFrame:
     """``score, tp, n, precision, recall, fpr`` at each distinct score, highest first; ``scored(score, label)`` with label 0 or 1.
 

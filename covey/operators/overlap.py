@@ -57,6 +57,24 @@ def containment_threshold(membership: DataFrame) -> DataFrame:
     return q.select(F.coalesce(F.col("p0") + (F.col("p1") - F.col("p0")) / 2, F.lit(0.0)).alias("threshold"))
 
 
+def similar_pairs(membership: DataFrame, threshold: float) -> DataFrame:
+    """``cid1, cid2, jaccard`` of pairs with a Jaccard coefficient of at least ``threshold``, each once.
+
+    Such a pair shares one of the first ``n - ceil(t n) + 1`` members of each set in
+    the order of rarity, so only those are joined and a member of very many
+    communities seldom is one; sizes too far apart are left out before the sets meet.
+    """
+    own = membership.select("cid", "node").distinct()
+    ranked = own.join(own.groupBy("node").agg(F.count("*").alias("often")), "node").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("often", "node"))).alias("m"))
+    sets_of = ranked.select("cid", F.col("m.node").alias("nodes"), F.size("m").alias("n"))
+    first = sets_of.select("cid", "n", F.explode(F.slice("nodes", F.lit(1), F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1)).alias("node"))
+    left, right = (first.select(F.col("cid").alias(f"cid{i}"), F.col("n").alias(f"n{i}"), "node") for i in (1, 2))
+    near = (F.col("n1") >= F.lit(threshold) * F.col("n2") - 1e-9) & (F.col("n2") >= F.lit(threshold) * F.col("n1") - 1e-9)
+    met = left.join(right, "node").filter((F.col("cid1") < F.col("cid2")) & near).select("cid1", "cid2").distinct()
+    both = met.join(sets_of.select(F.col("cid").alias("cid1"), F.col("nodes").alias("a")), "cid1").join(sets_of.select(F.col("cid").alias("cid2"), F.col("nodes").alias("b")), "cid2")
+    return both.select("cid1", "cid2", sets.jaccard_arrays(F.col("a"), F.col("b")).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+
+
 def best_matches(pairs: DataFrame, of: str, by: str) -> DataFrame:
     """The pair with the largest measure ``by`` for each ``of``, the smallest other id on ties."""
     other = "pid" if of == "kid" else "kid"
@@ -66,7 +84,9 @@ def best_matches(pairs: DataFrame, of: str, by: str) -> DataFrame:
 
 def subset_filter(membership: DataFrame, threshold: float) -> DataFrame:
     """``cid`` of communities whose Jaccard coefficient with every larger one is at most ``threshold``; of equal sizes the larger id is the larger one."""
-    pairs = self_overlaps(membership).withColumn("j", sets.jaccard(F.col("c"), F.col("n1"), F.col("n2"))).filter(F.col("j") > threshold)
+    n = sizes(membership, "cid", "n")
+    pairs = similar_pairs(membership, threshold).filter(F.col("jaccard") > threshold)
+    pairs = pairs.join(n.select(F.col("cid").alias("cid1"), F.col("n").alias("n1")), "cid1").join(n.select(F.col("cid").alias("cid2"), F.col("n").alias("n2")), "cid2")
     smaller = pairs.select(F.when(F.col("n1") <= F.col("n2"), F.col("cid1")).otherwise(F.col("cid2")).alias("cid")).distinct()
     return membership.select("cid").distinct().join(smaller, "cid", "left_anti")
 

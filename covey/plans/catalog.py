@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, graph, merge, metrics, models, overlap, reporting, search, training
 from ..sources.text import FEATURES
-from ..sources.scratch import stored
+from ..sources.scratch import scratch, stored
 from . import detect, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +25,8 @@ VIEWS = {
     "hq": "SELECT DISTINCT l_orderkey AS pid, l_partkey AS node FROM lineitem WHERE l_quantity > 15",
     "predicted": "SELECT pid, node FROM hq QUALIFY count(*) OVER (PARTITION BY pid) >= 3",
     "scores": "SELECT l_orderkey AS pid, CAST(floor(CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*)) AS DOUBLE) / 100 AS score FROM lineitem WHERE l_quantity > 15 GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 3",
-    "copart": "SELECT a.node AS src, b.node AS dst, CAST(count(*) AS DOUBLE) AS weight FROM basket a JOIN basket b ON a.kid = b.kid AND a.node < b.node GROUP BY 1, 2 HAVING count(*) >= 2",
+    "copart": "SELECT a.node AS src, b.node AS dst, CAST(count(*) AS DOUBLE) AS weight FROM basket a JOIN basket b ON a.kid = b.kid AND a.node < b.node GROUP BY 1, 2",
+    "often": "SELECT src, dst FROM copart WHERE weight >= 2",
     "adj": "SELECT src AS node, dst AS nbr, weight FROM copart UNION ALL SELECT dst, src, weight FROM copart",
     "brand": "SELECT p_brand AS cid, p_partkey AS node FROM part WHERE p_partkey IN (SELECT node FROM adj)",
     "induced": "SELECT a.cid, src, dst, weight FROM copart JOIN brand a ON a.node = src JOIN brand b ON b.node = dst AND a.cid = b.cid",
@@ -45,13 +46,13 @@ VIEWS = {
     "names": "SELECT p_partkey AS id, CASE WHEN p_size = 1 THEN '-' ELSE p_name END AS name FROM part",
     "ann": "SELECT p_partkey AS node, CAST(p_size % 6 AS INT) AS score FROM part WHERE p_size <= 40",
     "edge_score": "SELECT src, dst, max(score) AS score FROM (SELECT a.pid, a.node AS src, b.node AS dst FROM predicted a JOIN predicted b ON a.pid = b.pid AND a.node < b.node) JOIN scores USING (pid) GROUP BY 1, 2",
-    "labelled": "SELECT score, CASE WHEN copart.src IS NULL THEN 0 ELSE 1 END AS label FROM edge_score LEFT JOIN copart USING (src, dst)",
+    "labelled": "SELECT score, CASE WHEN often.src IS NULL THEN 0 ELSE 1 END AS label FROM edge_score LEFT JOIN often USING (src, dst)",
     "curve": "SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS n, sum(pos) OVER () AS tot, pos FROM (SELECT score, sum(label) AS pos, count(*) AS n FROM labelled GROUP BY 1)",
 }
 _USES = {
     "known": ["basket"], "predicted": ["hq"], "copart": ["basket"], "adj": ["copart"], "brand": ["adj"], "induced": ["copart", "brand"], "ends": ["induced"], "deg": ["brand", "ends"],
     "pairs": ["known", "predicted"], "ks": ["known"], "ps": ["predicted"], "ov": ["pairs", "ks", "ps"], "supn": ["sup"], "selfov": ["sup", "supn"], "tb": ["typ", "bra"],
-    "edge_score": ["predicted", "scores"], "labelled": ["edge_score", "copart"], "curve": ["labelled"],
+    "edge_score": ["predicted", "scores"], "often": ["copart"], "labelled": ["edge_score", "often"], "curve": ["labelled"],
 }
 
 
@@ -69,7 +70,7 @@ def sql(uses: list[str], body: str) -> str:
         add(name)
     first, _, rest = body.strip().partition(" ")
     more = rest + "\n" if first == "WITH" else None
-    ctes = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in order)
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in order)
     return f"WITH {ctes}" + (f",\n{more}" if more else f"\n{body}") if ctes else body
 
 
@@ -228,7 +229,7 @@ def subgraph_features15(spark, sf):
 
 @query("svd_features")
 def svd_features(spark, sf):
-    return rounded(features.singular_values(graph.induced_edges(views.network(spark, sf), views.brands(spark, sf))))
+    return rounded(features.singular_values(graph.induced_edges(views.copart(spark, sf), views.brands(spark, sf))))
 
 
 @query("community_density", ["induced", "brand"], """WITH m AS (SELECT cid, count(*) AS m FROM induced WHERE weight > 0 GROUP BY 1), n AS (SELECT cid, count(*) AS nodes FROM brand GROUP BY 1)
@@ -368,6 +369,29 @@ def clique_pr_k3(spark, sf):
     return rounded(metrics.clique_precision_recall(views.known(spark, sf), views.predicted(spark, sf), 3))
 
 
+@query("clique_curve")
+def clique_curve(spark, sf):
+    return rounded(metrics.clique_curve(views.known(spark, sf), views.predicted(spark, sf)))
+
+
+@query("clique_summary")
+def clique_summary(spark, sf):
+    return rounded(metrics.clique_summary(metrics.clique_curve(views.known(spark, sf), views.predicted(spark, sf))))
+
+
+@query("unite_known")
+def unite_known(spark, sf):
+    return merge.unite_known(views.known(spark, sf).withColumnRenamed("kid", "cid"))
+
+
+@query("saved_model")
+def saved_model(spark, sf):
+    fitted, _, rest = _return_model(spark, sf, "SVM")
+    path = scratch(spark)
+    fitted.save(path)
+    return rounded(models.Classifier.load(path).score(rest).groupBy("label", "pred").agg(F.count("*").alias("n"), F.avg("score").alias("score")))
+
+
 def _edge_scores(spark, sf):
     p = views.predicted(spark, sf).withColumnRenamed("pid", "cid")
     inside = p.select("cid", F.col("node").alias("src")).join(p.select("cid", F.col("node").alias("dst")), "cid").filter("src < dst")
@@ -381,12 +405,12 @@ def edge_max_score(spark, sf):
 
 @query("edge_pr_curve", ["curve"], "SELECT round(score, 6) AS score, CAST(tp AS BIGINT) AS tp, CAST(n AS BIGINT) AS n, round(CAST(tp AS DOUBLE) / n, 6) AS precision, round(CAST(tp AS DOUBLE) / tot, 6) AS recall, round(CAST(n - tp AS DOUBLE) / ((SELECT count(*) FROM labelled) - tot), 6) AS fpr FROM curve")
 def edge_pr_curve(spark, sf):
-    return rounded(metrics.ranked_curve(metrics.edge_labels(_edge_scores(spark, sf), views.copart(spark, sf))))
+    return rounded(metrics.ranked_curve(metrics.edge_labels(_edge_scores(spark, sf), views.copart(spark, sf, least=2))))
 
 
 @query("average_precision", ["curve"], "SELECT round(sum(pos * CAST(tp AS DOUBLE) / n) / sum(pos), 6) AS average_precision FROM curve")
 def average_precision(spark, sf):
-    return rounded(metrics.average_precision(metrics.edge_labels(_edge_scores(spark, sf), views.copart(spark, sf))))
+    return rounded(metrics.average_precision(metrics.edge_labels(_edge_scores(spark, sf), views.copart(spark, sf, least=2))))
 
 
 @query("running_fdr", [], "SELECT doc_id AS id, CAST(quality AS DOUBLE) AS score, round(1 - CAST(sum(toxic) OVER w AS DOUBLE) / count(*) OVER w, 6) AS fdr FROM labels WINDOW w AS (ORDER BY quality DESC, doc_id ROWS UNBOUNDED PRECEDING)")
@@ -396,7 +420,7 @@ def running_fdr(spark, sf):
 
 @query("overall_fdr", ["labelled"], "SELECT round(CAST(sum(1 - label) AS DOUBLE) / count(*), 6) AS fdr FROM labelled")
 def overall_fdr(spark, sf):
-    return rounded(metrics.edge_labels(_edge_scores(spark, sf), views.copart(spark, sf)).agg(F.avg((1 - F.col("label")).cast("double")).alias("fdr")))
+    return rounded(metrics.edge_labels(_edge_scores(spark, sf), views.copart(spark, sf, least=2)).agg(F.avg((1 - F.col("label")).cast("double")).alias("fdr")))
 
 
 _RESULTS = "SELECT toxic AS label, CASE WHEN quality = 0 THEN 1 ELSE 0 END AS pred FROM labels"
@@ -631,7 +655,7 @@ def dense_score(f: dict[str, float]) -> float:
 
 def _candidates(spark, sf, method):
     """Communities grown from all nodes, up to the size that the spread of basket sizes allows."""
-    neighbours = stored(graph.adjacency(views.network(spark, sf)))
+    neighbours = stored(graph.adjacency(views.copart(spark, sf)))
     largest = training.iqr_max_size(_basket_sizes(spark, sf)).first().max_size or 3
     return search.grow(neighbours.select("node"), neighbours, dense_score, search.Growth(method=method, max_size=int(largest), threshold=0.6, seed=1))
 
@@ -662,13 +686,13 @@ def grow_annealing(spark, sf):
 
 @query("maximal_cliques")
 def maximal_cliques(spark, sf):
-    found = search.maximal_cliques(views.network(spark, sf))
+    found = search.maximal_cliques(views.copart(spark, sf))
     return found.select(F.array_join(F.col("members").cast("array<string>"), " ").alias("members"))
 
 
 @query("merge_overlapping")
 def merge_overlapping(spark, sf):
-    edges = views.network(spark, sf)
+    edges = views.copart(spark, sf)
     grown = merge.distinct_candidates(_candidates(spark, sf, "heaviest").select("members", "score"))
     merged = merge.merge_overlapping(grown, edges, 0.3, dense_score)
     return rounded(merged.select(F.array_join(F.col("members").cast("array<string>"), " ").alias("members"), "score"))
@@ -681,22 +705,27 @@ def _walk_plan(spark, sf):
 
 @query("random_walks")
 def random_walks(spark, sf):
-    return training.random_walks(graph.adjacency(views.network(spark, sf)), _walk_plan(spark, sf), seed=3)
+    return training.random_walks(graph.adjacency(views.copart(spark, sf)), _walk_plan(spark, sf), seed=3)
 
 
 @query("detect_communities")
 def detect_communities(spark, sf):
     known = views.known(spark, sf).withColumnRenamed("kid", "cid")
-    edges = stored(views.network(spark, sf))
+    edges = stored(views.copart(spark, sf))
     found, split, _ = detect.detect(edges, known)
     return rounded(detect.measure(found, known, split, without=("matching",)))
 
 
-@query("train_and_test")
-def train_and_test(spark, sf):
+def _return_model(spark, sf, name):
+    """A model of returned lines, its columns and the rows that it was not fitted to."""
     columns = FEATURES[:5]
     lines = views.table(spark, sf, "lineitem")
     values = dict(zip(columns, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"], strict=True))
     rows = lines.select(*(F.col(v).cast("double").alias(c) for c, v in values.items()), (F.col("l_returnflag") == "R").cast("double").alias("label"), F.pmod(F.xxhash64("l_orderkey"), F.lit(10)).alias("fold"))
-    fitted = models.train(rows.filter("fold < 7"), columns, "log_reg")
-    return rounded(models.evaluate(fitted, rows.filter("fold >= 7")))
+    return models.train(rows.filter("fold < 7"), columns, name), columns, rows.filter("fold >= 7")
+
+
+@query("train_and_test")
+def train_and_test(spark, sf):
+    fitted, _, rest = _return_model(spark, sf, "log_reg")
+    return rounded(models.evaluate(fitted, rest))

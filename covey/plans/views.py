@@ -35,18 +35,13 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.col("l_orderkey").alias("pid")).agg(score.alias("score"), F.countDistinct("l_partkey").alias("n")).filter("n >= 3").select("pid", "score")
 
 
-def copart(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
-    """``src, dst, weight``: parts that share ``least`` orders or more."""
+def copart(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
+    """``src, dst, weight``: parts that share ``least`` orders or more, by their number."""
     own = baskets(spark, sf_dir)
     pairs = own.select("kid", F.col("node").alias("src")).join(own.select("kid", F.col("node").alias("dst")), "kid").filter("src < dst")
     return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")).filter(F.col("weight") >= least)
 
 
-def network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``src, dst, weight``: all parts that share an order, by the number of orders."""
-    return copart(spark, sf_dir, least=1)
-
-
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cid, node``: the parts of each brand."""
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("cid"), F.col("p_partkey").alias("node"))
@@ -59,7 +54,8 @@ def types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brand_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cid, node``: members of brand communities that are nodes of the network."""
-    nodes = copart(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    own = baskets(spark, sf_dir)
+    nodes = own.join(own.groupBy("kid").count().filter("count >= 2").select("kid"), "kid", "left_semi").select("node").distinct()
     return brands(spark, sf_dir).join(nodes, "node", "left_semi").select("cid", "node")
 
 

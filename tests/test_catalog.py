@@ -22,7 +22,7 @@ def test_contract(spark):
 
 def test_searches_see_the_whole_network(spark, duck):
     want = duck.execute("WITH b AS (SELECT DISTINCT l_orderkey AS kid, l_partkey AS node FROM lineitem) SELECT a.node AS src, b.node AS dst, count(*) AS weight FROM b AS a JOIN b ON a.kid = b.kid AND a.node < b.node GROUP BY 1, 2").df()
-    assert (want["weight"] == 1).any() and same_rows(views.network(spark, SF).toPandas(), want)
+    assert (want["weight"] == 1).any() and same_rows(views.copart(spark, SF).toPandas(), want)
     ends = {tuple(map(int, r.members.split())) for r in catalog.QUERIES["maximal_cliques"](spark, SF).collect()}
     held = {(x, y) for c in ends for x in c for y in c if x < y}
     single = want[want["weight"] == 1]

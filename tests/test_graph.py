@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from covey.functions import sets
-from covey.operators import features, graph, merge, metrics, overlap, ranges, search, training
+from covey.operators import features, graph, merge, metrics, models, overlap, ranges, search, training
 from covey.operators.components import Forest, components
 from covey.plans import detect
 from covey.plans.catalog import dense_score as density
@@ -262,3 +262,42 @@ def test_empty_tables(spark):
     none = edges_of(spark, [("x", "x")]).filter("src <> dst")
     assert graph.network_stats(none).first().n_nodes == 0
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_united_communities_equal_plain_rounds(spark):
+    rng = np.random.default_rng(8)
+    own = {i: frozenset(rng.choice(9, rng.integers(3, 7), replace=False).tolist()) for i in range(30)}
+    rows = spark.createDataFrame([(i, x) for i, m in own.items() for x in m], "cid long, node long")
+    near = lambda m, a, b: len(m[a] & m[b]) / len(m[a] | m[b])
+    got = sorted((r.cid1, r.cid2, round(r.jaccard, 9)) for r in overlap.similar_pairs(rows, 0.6).collect())
+    assert got == [(a, b, round(near(own, a, b), 9)) for a, b in combinations(own, 2) if near(own, a, b) >= 0.6]
+    want = dict(own)
+    while pairs := [(-near(want, a, b), a, b) for a, b in combinations(sorted(want), 2) if near(want, a, b) >= 0.6]:
+        best = {x: min(p for p in pairs if x in p[1:]) for x in {y for p in pairs for y in p[1:]}}
+        for p in {p for p in pairs if best[p[1]] == p == best[p[2]]}:
+            want[p[1]] |= want.pop(p[2])
+    united = {}
+    for r in merge.unite_known(rows, 0.6).collect():
+        united.setdefault(r.cid, set()).add(r.node)
+    assert united == want and len(want) < 30
+
+
+def test_clique_sizes(spark):
+    known = spark.createDataFrame([(1, x) for x in "abcd"] + [(2, x) for x in "def"], "kid long, node string")
+    predicted = spark.createDataFrame([(1, x) for x in "abcx"] + [(2, x) for x in "efghi"], "pid long, node string")
+    curve = {r.k: (r.tp, r.fp, r.fn, r.n_communities) for r in metrics.clique_curve(known, predicted).collect()}
+    assert curve == {2: (4, 12, 5, 2), 3: (1, 13, 4, 2), 4: (0, 6, 1, 2), 5: (0, 1, 0, 1)}
+    row = metrics.clique_summary(metrics.clique_curve(known, predicted)).first()
+    assert 0 < row.grand_f1 < row.grand_mean and row.precision < 0.1
+    hidden = spark.createDataFrame([(9, x) for x in "efgh"], "kid long, node string")
+    assert metrics.clique_precision_recall(known, predicted, 2, excluded=hidden).first()[:3] == (4, 7, 5)
+
+
+@pytest.mark.parametrize("name", ["estimator_SVM", "log_reg"])
+def test_saved_models(spark, name, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(float(a), float(b), float(a + b > 1)) for a, b in rng.random((60, 2))], "x double, y double, label double")
+    fitted = models.train(rows, ["x", "y"], name)
+    fitted.save(str(tmp_path / "m"))
+    scores = lambda m: [round(r.score, 9) for r in m.score(rows).orderBy("x").collect()]
+    assert scores(models.Classifier.load(str(tmp_path / "m"))) == scores(fitted)
