@@ -85,105 +85,137 @@ def clustering_accuracy(pairs: DataFrame, known: DataFrame, predicted: DataFrame
 
 
 def assignment(weights: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of rows and columns of a matching of maximal weight, by shortest augmenting paths."""
-    flipped = weights.shape[0] > weights.shape[1]
-    cost = -(weights.T if flipped else weights)
-    n, m = cost.shape
+    """Pairs of rows and columns of a matching of maximal weight."""
+    row, column = np.nonzero(weights)
+    return sparse_assignment(row, column, weights[row, column], weights.shape)
+
+
+def sparse_assignment(row: np.ndarray, column: np.ndarray, weight: np.ndarray, shape: tuple[int, int]) -> list[tuple[int, int]]:
+    """Pairs of rows and columns of a matching of maximal weight, by shortest augmenting paths; what isn't listed weighs 0.
+
+    Only the listed cells are held, and one row of costs at a time.
+    """
+    flipped = shape[0] > shape[1]
+    if flipped:
+        row, column, shape = column, row, shape[::-1]
+    n, m = shape
+    order = np.argsort(row, kind="stable")
+    column, cost = column[order], -weight[order]
+    first = np.searchsorted(row[order], np.arange(n + 1))
     u, v = np.zeros(n + 1), np.zeros(m + 1)
     row_of = np.zeros(m + 1, np.int64)
     for i in range(1, n + 1):
         row_of[0] = i
-        column, least, before, used = 0, np.full(m + 1, np.inf), np.zeros(m + 1, np.int64), np.zeros(m + 1, bool)
+        at, least, before, used = 0, np.full(m + 1, np.inf), np.zeros(m + 1, np.int64), np.zeros(m + 1, bool)
         while True:
-            used[column] = True
-            r = row_of[column]
+            used[at] = True
+            r = row_of[at]
             free = ~used[1:]
-            slack = cost[r - 1] - u[r] - v[1:]
+            slack = -u[r] - v[1:]
+            own = slice(first[r - 1], first[r])
+            slack[column[own]] += cost[own]
             better = free & (slack < least[1:])
             least[1:][better] = slack[better]
-            before[1:][better] = column
+            before[1:][better] = at
             to = int(np.where(free, least[1:], np.inf).argmin()) + 1
             step = least[to]
             u[row_of[used]] += step
             v[used] -= step
             least[1:][free] -= step
-            column = to
-            if row_of[column] == 0:
+            at = to
+            if row_of[at] == 0:
                 break
-        while column:
-            row_of[column] = row_of[before[column]]
-            column = before[column]
+        while at:
+            row_of[at] = row_of[before[at]]
+            at = before[at]
     found = [(int(row_of[j]) - 1, j - 1) for j in range(1, m + 1) if row_of[j]]
     return [(b, a) for a, b in found] if flipped else found
 
 
-#: Cells of a component's matrix up to which the matching is optimal; beyond, heaviest pairs are taken first.
-MATCH_CELLS = 4_000_000
-
+def match_communities(pairs: DataFrame) -> DataFrame:
+    """``kid, pid, w``: a matching of maximal total affinity, one overlap component at a time.
 
-def match_communities(pairs: DataFrame, cells: int = MATCH_CELLS) -> DataFrame:
-    """``kid, pid, w, exact``: a matching of maximal total affinity, one overlap component at a time.
-
-    Pairs without overlap add nothing, so components don't interact.  In a
-    component with more than ``cells`` possible pairs the heaviest remaining pair
-    is taken again and again, and ``exact`` is false.
+    Pairs without overlap add nothing, so components don't interact.  A component
+    is one task, which holds its pairs.
     """
     weighted = pairs.withColumn("w", sets.affinity(F.col("c"), F.col("nk"), F.col("np"))).select("kid", "pid", "w")
     ids = weighted.withColumns({"a": F.xxhash64(F.lit("k"), "kid"), "b": F.xxhash64(F.lit("p"), "pid")})
     parts = ids.join(components(ids.select("a", "b")), F.col("a") == F.col("node"), "left").withColumn("component", F.coalesce("component", F.least("a", "b")))
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["w", "kid", "pid"], ascending=[False, True, True]).reset_index(drop=True)
+        rows = rows.sort_values(["kid", "pid"])
         k, kids = pd.factorize(rows["kid"], sort=True)
         p, pids = pd.factorize(rows["pid"], sort=True)
-        exact = len(kids) * len(pids) <= cells
-        if exact:
-            matrix = np.zeros((len(kids), len(pids)))
-            matrix[k, p] = rows["w"]
-            found = [(i, j, matrix[i, j]) for i, j in assignment(matrix) if matrix[i, j] > 0]
-        else:
-            found, left, right = [], set(), set()
-            for i, j, w in zip(k.tolist(), p.tolist(), rows["w"], strict=True):
-                if i not in left and j not in right:
-                    left.add(i)
-                    right.add(j)
-                    found.append((i, j, w))
-        return pd.DataFrame({"kid": [kids[i] for i, _, _ in found], "pid": [pids[j] for _, j, _ in found], "w": [float(w) for *_, w in found], "exact": exact})
+        w = rows["w"].to_numpy()
+        value = dict(zip(zip(k.tolist(), p.tolist(), strict=True), w.tolist(), strict=True))
+        found = [(i, j) for i, j in sparse_assignment(k, p, w, (len(kids), len(pids))) if (i, j) in value]
+        return pd.DataFrame({"kid": [kids[i] for i, _ in found], "pid": [pids[j] for _, j in found], "w": [value[f] for f in found]})
 
     kinds = {f.name: f.dataType.simpleString() for f in weighted.schema}
-    return parts.select("component", "kid", "pid", "w").groupBy("component").applyInPandas(solve, f"kid {kinds['kid']}, pid {kinds['pid']}, w double, exact boolean")
+    return parts.select("component", "kid", "pid", "w").groupBy("component").applyInPandas(solve, f"kid {kinds['kid']}, pid {kinds['pid']}, w double")
 
 
 def matching_metrics(pairs: DataFrame, known: DataFrame, predicted: DataFrame) -> DataFrame:
     """One row: the matching's total affinity over predicted and known communities, F1, and the number of matches."""
-    total = match_communities(pairs).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"), F.coalesce(F.min("exact"), F.lit(True)).alias("exact"))
+    total = match_communities(pairs).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"))
     row = total.crossJoin(_number(known, "n_k")).crossJoin(_number(predicted, "n_p"))
-    row = row.select(sets.ratio(F.col("w"), F.col("n_p")).alias("precision"), sets.ratio(F.col("w"), F.col("n_k")).alias("recall"), F.least("n_k", "n_p").alias("n_matches"), "exact")
+    row = row.select(sets.ratio(F.col("w"), F.col("n_p")).alias("precision"), sets.ratio(F.col("w"), F.col("n_k")).alias("recall"), F.least("n_k", "n_p").alias("n_matches"))
     return row.withColumn("f1", sets.harmonic_mean(F.col("precision"), F.col("recall")))
 
 
-def threshold_curve(pairs: DataFrame, known: DataFrame, scored: DataFrame, share: float = 0.5, steps: int = 10) -> DataFrame:
-    """``step, threshold, n_pred, precision, recall``: matches among predictions with at least each of ``steps`` scores.
-
-    ``scored(pid, score)``.  A prediction is aggregated at the last step it reaches
-    and the steps are summed from above, so nothing is copied per step.
-    """
+def _reached(scored: DataFrame, steps: int) -> tuple[DataFrame, float, float]:
+    """``pid, last``: the last of ``steps`` equal steps of the score that each prediction reaches; the lowest score and the width of a step."""
     low, high = scored.agg(F.min("score"), F.max("score")).first()
     low, width = (low or 0.0), ((high or 0.0) - (low or 0.0)) / steps
     last = F.lit(steps - 1) if width == 0 else F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.floor((F.col("score") - low) / width).cast("int")))
     # Guards against a quotient that rounds over or under its step.
     for _ in range(1 if width else 0):
         last = F.when((last < steps - 1) & (F.col("score") >= F.lit(low) + (last + 1) * F.lit(width)), last + 1).when((last > 0) & (F.col("score") < F.lit(low) + last * F.lit(width)), last - 1).otherwise(last)
-    reached = scored.select("pid", last.alias("last"))
+    return scored.select("pid", last.alias("last")), low, width
+
+
+def _grid(reached: DataFrame, steps: int, low: float, width: float) -> DataFrame:
+    """``step, threshold, n``: how many predictions reach each step."""
+    per_step = reached.groupBy(F.col("last").alias("step")).agg(F.count("*").alias("n"))
+    grid = reached.sparkSession.range(steps).select(F.col("id").cast("int").alias("step")).join(per_step, "step", "left").fillna(0)
+    above = W.orderBy(F.desc("step"))  # one row for each step
+    return grid.select("step", (F.lit(low) + F.col("step") * F.lit(width)).alias("threshold"), F.sum("n").over(above).alias("n"))
+
+
+def threshold_curve(pairs: DataFrame, known: DataFrame, scored: DataFrame, share: float = 0.5, steps: int = 10) -> DataFrame:
+    """``step, threshold, n_pred, precision, recall``: matches among predictions with at least each of ``steps`` scores.
+
+    ``scored(pid, score)``.  A prediction is aggregated at the last step it reaches
+    and the steps are summed from above, so nothing is copied per step.
+    """
+    reached, low, width = _reached(scored, steps)
     hits = pairs.filter(sets.contained(F.col("c"), F.col("nk"), F.col("np"), share)).select("kid", "pid").join(reached, "pid")
-    per_step = reached.groupBy("last").agg(F.count("*").alias("n"))
-    hit_p = hits.groupBy("pid").agg(F.first("last").alias("last")).groupBy("last").agg(F.count("*").alias("hp"))
-    hit_k = hits.groupBy("kid").agg(F.max("last").alias("last")).groupBy("last").agg(F.count("*").alias("hk"))
-    grid = known.sparkSession.range(steps).select(F.col("id").cast("int").alias("step"))
+    hit_p = hits.groupBy("pid").agg(F.first("last").alias("step")).groupBy("step").agg(F.count("*").alias("hp"))
+    hit_k = hits.groupBy("kid").agg(F.max("last").alias("step")).groupBy("step").agg(F.count("*").alias("hk"))
     above = W.orderBy(F.desc("step"))  # one row for each step
-    out = grid.join(per_step.withColumnRenamed("last", "step"), "step", "left").join(hit_p.withColumnRenamed("last", "step"), "step", "left").join(hit_k.withColumnRenamed("last", "step"), "step", "left").fillna(0)
-    out = out.select("step", *(F.sum(c).over(above).alias(c) for c in ("n", "hp", "hk"))).crossJoin(_number(known, "n_k"))
-    return out.select("step", (F.lit(low) + F.col("step") * F.lit(width)).alias("threshold"), F.col("n").alias("n_pred"), sets.ratio(F.col("hp"), F.col("n")).alias("precision"), sets.ratio(F.col("hk"), F.col("n_k")).alias("recall"))
+    out = _grid(reached, steps, low, width).join(hit_p, "step", "left").join(hit_k, "step", "left").fillna(0, ["hp", "hk"])
+    out = out.select("step", "threshold", "n", *(F.sum(c).over(above).alias(c) for c in ("hp", "hk"))).crossJoin(_number(known, "n_k"))
+    return out.select("step", "threshold", F.col("n").alias("n_pred"), sets.ratio(F.col("hp"), F.col("n")).alias("precision"), sets.ratio(F.col("hk"), F.col("n_k")).alias("recall"))
+
+
+def matching_curve(pairs: DataFrame, known: DataFrame, scored: DataFrame, steps: int = 10) -> DataFrame:
+    """``step, threshold, n_pred, precision, recall``: the matching of maximal affinity among predictions with at least each of ``steps`` scores.
+
+    A pair takes part in the matching of each step its prediction reaches; all
+    steps are matched in one job, as communities of different steps don't meet.
+    """
+    reached, low, width = _reached(scored, steps)
+    each = pairs.join(reached, "pid").withColumn("step", F.explode(F.sequence(F.lit(0), "last")))
+    tag = lambda c: F.concat_ws("|", "step", F.col(c).cast("string")).alias(c)
+    matched = match_communities(each.select(tag("kid"), tag("pid"), "c", "nk", "np"))
+    total = matched.groupBy(F.substring_index("kid", "|", 1).cast("int").alias("step")).agg(F.sum("w").alias("w"))
+    out = _grid(reached, steps, low, width).join(total, "step", "left").fillna(0, ["w"]).crossJoin(_number(known, "n_k"))
+    return out.select("step", "threshold", F.col("n").alias("n_pred"), sets.ratio(F.col("w"), F.col("n")).alias("precision"), sets.ratio(F.col("w"), F.col("n_k")).alias("recall"))
+
+
+def first_predictions(predicted: DataFrame, scores: DataFrame, n: int) -> DataFrame:
+    """Members of the ``n`` best of ``scores(pid, score)``, by ``pid`` on ties."""
+    return predicted.join(scores.orderBy(F.desc("score"), "pid").limit(n).select("pid"), "pid", "left_semi")
 
 
 def cliques(membership: DataFrame, key: str, k: int) -> DataFrame:
@@ -217,6 +249,27 @@ def clique_precision_recall(known: DataFrame, predicted: DataFrame, k: int, pseu
     return row.select("tp", "fp", "fn", ((F.col("tp") + e) / (F.col("tp") + F.col("fp") + e)).alias("precision"), ((F.col("tp") + e) / (F.col("tp") + F.col("fn") + e)).alias("recall"))
 
 
+def weighted_clique_precision_recall(known: DataFrame, predicted: DataFrame, k: int, pseudocount: float = 1e-5) -> DataFrame:
+    """One row: precision and recall of ``k``-subsets, where those of a community of ``n`` weigh ``n`` in all.
+
+    Of predictions only members in some known community count.  A subset counts
+    once in each community that holds it: right ones are in a community of the
+    other side.
+    """
+    nodes = [f"n{i}" for i in range(1, k + 1)]
+    known, predicted = known.select("kid", "node").distinct(), known_only(predicted.select("pid", "node").distinct(), known, k)
+
+    def held(rows: DataFrame, key: str, name: str) -> DataFrame:
+        weight = sizes(rows, key, "n").filter(F.col("n") >= k).select(key, (F.col("n") / sets.combinations(F.col("n"), k)).alias(name))
+        return cliques(rows, key, k).join(weight, key).select(*nodes, name)
+
+    sides = held(predicted, "pid", "p").unionByName(held(known, "kid", "g"), allowMissingColumns=True)
+    seen = sides.groupBy(*nodes).agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
+    part = lambda of, other, right: F.coalesce(F.sum(F.when(F.col(other).isNotNull() == right, F.col(of))), F.lit(0.0)) + pseudocount
+    row = seen.agg(part("p", "g", True).alias("tp"), part("p", "g", False).alias("fp"), part("g", "p", True).alias("known_tp"), part("g", "p", False).alias("fn"))
+    return row.select("tp", "fp", "known_tp", "fn", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("known_tp") / (F.col("known_tp") + F.col("fn"))).alias("recall"))
+
+
 def clique_curve(known: DataFrame, predicted: DataFrame, pseudocount: float = 1e-5) -> DataFrame:
     """``k, tp, fp, fn, precision, recall, n_communities`` for ``k`` from 2 to the largest prediction.
 
@@ -313,7 +366,7 @@ def evaluate(known: DataFrame, predicted: DataFrame, share: float = 0.5, without
         "matched": lambda: matched_precision_recall(pairs, k, p, share),
         "unbiased": lambda: unbiased_accuracy(pairs, k, p),
         "best_f1": lambda: best_match_f1(pairs, k, p),
-        "matching": lambda: matching_metrics(pairs, k, p).drop("exact"),
+        "matching": lambda: matching_metrics(pairs, k, p),
         "affinity": lambda: maximum_matching_ratio(pairs, k, p),
         "size_weighted": lambda: size_weighted(pairs, k, p),
         "clustering": lambda: clustering_accuracy(pairs, k, p),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sets import ratio
+from .overlap import jaccard_pairs
+from .ranges import running_sums
 
 
 def with_names(membership: DataFrame, names: DataFrame) -> DataFrame:
@@ -135,3 +137,60 @@ def histogram(values: DataFrame, column: str, bins: int) -> DataFrame:
     width = (high - low) / bins or 1.0
     place = F.least(F.floor((F.col(column) - low) / width), F.lit(bins - 1)).cast("int")
     return values.filter(F.col(column).isNotNull()).groupBy(place.alias("bin")).agg(F.count("*").alias("n")).select("bin", (F.lit(low) + F.col("bin") * width).alias("low"), "n")
+
+
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """The rows with their ``rank`` from 1, in an order that has to be total."""
+    return running_sums(rows, list(order), {"rank": F.lit(1)})
+
+
+def without_last(rows: DataFrame, *order: Column) -> DataFrame:
+    """All rows but the last one of an order, which has to be total."""
+    whole = rows.agg(F.count("*").alias("_n"))
+    return ranked(rows, *order).crossJoin(F.broadcast(whole)).filter("rank < _n").drop("rank", "_n")  # of one row
+
+
+def labelled(rows: DataFrame, column: str, labels: list) -> DataFrame:
+    """Rows with one of a few labels."""
+    return rows.filter(F.col(column).isin(labels))
+
+
+def retrieved(seeds: DataFrame, results: DataFrame) -> DataFrame:
+    """Results of the seeds; a seed without one is left out."""
+    return results.join(seeds.select("seed").distinct(), "seed", "left_semi")
+
+
+def sweep_table(runs: DataFrame, metrics: list[str]) -> DataFrame:
+    """``run`` and a column for each of a few metrics, of ``runs(run, metric, value)``."""
+    return runs.groupBy("run").pivot("metric", metrics).agg(F.max("value"))
+
+
+def community_list(membership: DataFrame, names: DataFrame, interactions: DataFrame, only: bool = False) -> DataFrame:
+    """``cid, members, n_members, n_partners``: sorted names, and the counts of interactors; ``only`` communities that have some."""
+    named = with_names(membership, names).groupBy("cid").agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("members"))
+    return named.join(interactor_counts(membership, interactions), "cid", "inner" if only else "left").fillna(0, ["n_members", "n_partners"])
+
+
+def community_pages(induced: DataFrame, membership: DataFrame, scores: DataFrame, interactions: DataFrame) -> DataFrame:
+    """``cid, nodes, edges, density, dense, score, n_members, n_partners``: what a page of a community shows."""
+    shape = display_density(induced, membership).join(scores.select("cid", "score"), "cid", "left")
+    return shape.join(interactor_counts(membership, interactions), "cid", "left").fillna(0, ["n_members", "n_partners"])
+
+
+def interaction_map(interactions: DataFrame, membership: DataFrame) -> DataFrame:
+    """``source, target, kind, weight``: interactions whose prey is in a community (``interaction``), and these preys' communities (``member``, of weight 1)."""
+    met = mapped_interactions(interactions, membership)
+    own = membership.join(met.select(F.col("prey").alias("node")), "node", "left_semi").distinct()
+    edge = lambda a, b, kind, w: (F.col(a).cast("string").alias("source"), F.col(b).cast("string").alias("target"), F.lit(kind).alias("kind"), w.cast("double").alias("weight"))
+    return met.select(*edge("bait", "prey", "interaction", F.col("weight"))).unionByName(own.select(*edge("node", "cid", "member", F.lit(1))))
+
+
+def bait_maps(interactions: DataFrame, membership: DataFrame) -> DataFrame:
+    """``bait, source, target, kind, weight``: around each bait its preys in communities, these communities, and links between those that share members."""
+    met = mapped_interactions(interactions, membership)
+    own = met.select("bait", F.col("prey").alias("node")).join(membership, "node").select("bait", "node", "cid").distinct()
+    touched = own.select("bait", "cid").distinct()
+    first, second = (touched.select("bait", F.col("cid").alias(c)) for c in ("cid1", "cid2"))
+    near = jaccard_pairs(membership).join(first, "cid1").join(second, ["bait", "cid2"])
+    edge = lambda a, b, kind, w: ("bait", F.col(a).cast("string").alias("source"), F.col(b).cast("string").alias("target"), F.lit(kind).alias("kind"), w.cast("double").alias("weight"))
+    return met.select(*edge("bait", "prey", "interaction", F.col("weight"))).unionByName(own.select(*edge("node", "cid", "member", F.lit(1)))).unionByName(near.select(*edge("cid1", "cid2", "overlap", F.col("jaccard"))))

@@ -348,6 +348,49 @@ def pr_threshold_curve(spark, sf):
     return rounded(metrics.threshold_curve(pairs, k, views.scores(spark, sf)))
 
 
+@query("mmr_threshold_curve")
+def mmr_threshold_curve(spark, sf):
+    k = views.supplier_parts(spark, sf).withColumnRenamed("cid", "kid")
+    p = views.supplier_parts(spark, sf, 25).withColumnRenamed("cid", "pid")
+    score = views.table(spark, sf, "lineitem").filter("l_quantity > 25").groupBy(F.col("l_suppkey").alias("pid")).agg(F.avg("l_discount").alias("score"))
+    return rounded(metrics.matching_curve(overlap.overlaps(k, p), _sizes(k, "kid"), score))
+
+
+@query("first_predictions", ["ov", "scores"], """WITH f AS (SELECT pid FROM scores ORDER BY score DESC, pid LIMIT 500), m AS (SELECT kid, pid FROM ov WHERE pid IN (SELECT pid FROM f) AND c / nk > 0.5 AND c / np > 0.5),
+    r AS (SELECT CAST(count(DISTINCT pid) AS DOUBLE) / (SELECT count(*) FROM f) AS p, CAST(count(DISTINCT kid) AS DOUBLE) / (SELECT count(*) FROM ks) AS r FROM m)
+    SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p > 0 AND r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM r""")
+def first_predictions(spark, sf):
+    k, p = views.known(spark, sf), metrics.first_predictions(views.predicted(spark, sf), views.scores(spark, sf), 500)
+    return rounded(metrics.matched_precision_recall(overlap.overlaps(k, p), _sizes(k, "kid"), _sizes(p, "pid")))
+
+
+def _weighted_clique_sql(k: int) -> str:
+    columns = ", ".join(f"t{i}.node AS n{i}" for i in range(k))
+    same = " AND ".join(f"a.n{i} = b.n{i}" for i in range(k))
+    weight = {2: "2 / CAST(n - 1 AS DOUBLE)", 3: "6 / CAST((n - 1) * (n - 2) AS DOUBLE)"}[k]
+
+    def own(table: str, key: str) -> str:
+        joins = " ".join(f"JOIN {table} t{i} ON t{i}.{key} = t0.{key} AND t{i}.node > t{i - 1}.node" for i in range(1, k))
+        return f"SELECT {columns}, {weight} AS w FROM {table} t0 {joins} JOIN (SELECT {key}, count(*) AS n FROM {table} GROUP BY 1) z ON z.{key} = t0.{key}"
+
+    def part(a: str, b: str, how: str) -> str:
+        return f"(SELECT coalesce(sum(w), 0) + CAST(1e-5 AS DOUBLE) FROM {a} a WHERE {how} (SELECT 1 FROM {b} b WHERE {same}))"
+
+    return f"""WITH shown AS (SELECT pid, node FROM predicted WHERE node IN (SELECT node FROM known) QUALIFY count(*) OVER (PARTITION BY pid) >= {k}), p AS ({own('shown', 'pid')}), g AS ({own('known', 'kid')}),
+    r AS (SELECT {part('p', 'g', 'EXISTS')} AS tp, {part('p', 'g', 'NOT EXISTS')} AS fp, {part('g', 'p', 'EXISTS')} AS known_tp, {part('g', 'p', 'NOT EXISTS')} AS fn)
+    SELECT round(tp, 6) AS tp, round(fp, 6) AS fp, round(known_tp, 6) AS known_tp, round(fn, 6) AS fn, round(tp / (tp + fp), 6) AS precision, round(known_tp / (known_tp + fn), 6) AS recall FROM r"""
+
+
+@query("weighted_clique_pr_k2", ["known", "predicted"], _weighted_clique_sql(2))
+def weighted_clique_pr_k2(spark, sf):
+    return rounded(metrics.weighted_clique_precision_recall(views.known(spark, sf), views.predicted(spark, sf), 2))
+
+
+@query("weighted_clique_pr_k3", ["known", "predicted"], _weighted_clique_sql(3))
+def weighted_clique_pr_k3(spark, sf):
+    return rounded(metrics.weighted_clique_precision_recall(views.known(spark, sf), views.predicted(spark, sf), 3))
+
+
 def _clique_sql(k: int) -> str:
     names = [f"t{i}.node" for i in range(k)]
 
@@ -598,6 +641,88 @@ def sweep_best(spark, sf):
     return reporting.best_per_metric(runs)
 
 
+@query("sweep_table", [], "SELECT user_id AS run, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS view FROM events GROUP BY 1")
+def sweep_table(spark, sf):
+    runs = views.table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("metric"), "value")
+    return reporting.sweep_table(runs, ["click", "view"])
+
+
+@query("ranked_matches", ["ov"], "SELECT row_number() OVER (ORDER BY f1 DESC, kid) AS rank, kid, pid, round(f1, 6) AS f1 FROM (SELECT kid, pid, 2 * c / (nk + np) AS f1 FROM ov QUALIFY row_number() OVER (PARTITION BY kid ORDER BY 2 * c / (nk + np) DESC, pid) = 1)")
+def ranked_matches(spark, sf):
+    best = overlap.best_matches(overlap.measures(_overlaps(spark, sf)[0]), "kid", "f1").select("kid", "pid", "f1")
+    return rounded(reporting.ranked(best, F.desc("f1"), F.col("kid")).select(F.col("rank").cast("long").alias("rank"), "kid", "pid", "f1"))
+
+
+@query("ranked_communities", ["known", "inter"], "SELECT row_number() OVER (ORDER BY n DESC, cid) AS rank, cid, n FROM (SELECT kid AS cid, count(DISTINCT node) AS n FROM known JOIN inter ON prey = node WHERE weight > 60 GROUP BY 1)")
+def ranked_communities(spark, sf):
+    counts = reporting.interactor_counts(views.known(spark, sf).withColumnRenamed("kid", "cid"), views.interactions(spark, sf).filter("weight > 60")).select("cid", F.col("n_members").alias("n"))
+    return reporting.ranked(counts, F.desc("n"), F.col("cid")).select(F.col("rank").cast("long").alias("rank"), "cid", "n")
+
+
+@query("without_last_edge", ["inter"], "SELECT bait, prey, weight FROM inter QUALIFY row_number() OVER (ORDER BY bait DESC, prey DESC) > 1")
+def without_last_edge(spark, sf):
+    return reporting.without_last(views.interactions(spark, sf), F.col("bait"), F.col("prey"))
+
+
+@query("label_filter", [], "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag IN ('N', 'R')")
+def label_filter(spark, sf):
+    return reporting.labelled(views.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "l_returnflag", ["N", "R"])
+
+
+@query("candidate_retrieval", ["predicted", "scores"], "SELECT pid AS seed, score FROM scores WHERE pid IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000)")
+def candidate_retrieval(spark, sf):
+    seeds = views.table(spark, sf, "orders").filter("o_totalprice > 100000").select(F.col("o_orderkey").alias("seed"))
+    return reporting.retrieved(seeds, views.scores(spark, sf).withColumnRenamed("pid", "seed"))
+
+
+_INTERACTORS = "SELECT kid AS cid, count(DISTINCT node) AS n_members, count(DISTINCT bait) AS n_partners FROM known JOIN inter ON prey = node WHERE weight > 60 GROUP BY 1"
+_COMMUNITY_LIST = f"""WITH c AS ({_INTERACTORS}), n AS (SELECT kid AS cid, array_to_string(list_sort(list(DISTINCT coalesce(nullif(name, '-'), CAST(node AS VARCHAR)))), ' ') AS members FROM known LEFT JOIN names ON id = node GROUP BY 1)
+    SELECT n.cid, members, coalesce(n_members, 0) AS n_members, coalesce(n_partners, 0) AS n_partners FROM n"""
+
+
+@query("community_list", ["known", "inter", "names"], f"{_COMMUNITY_LIST} LEFT JOIN c ON c.cid = n.cid")
+def community_list(spark, sf, only=False):
+    known = views.known(spark, sf).withColumnRenamed("kid", "cid")
+    return reporting.community_list(known, views.part_names(spark, sf), views.interactions(spark, sf).filter("weight > 60"), only)
+
+
+@query("interactor_community_list", ["known", "inter", "names"], f"{_COMMUNITY_LIST} JOIN c ON c.cid = n.cid")
+def interactor_community_list(spark, sf):
+    return community_list(spark, sf, only=True)
+
+
+@query(
+    "community_pages",
+    ["known", "predicted", "scores", "inter", "copart"],
+    """WITH m AS (SELECT a.pid AS cid, count(*) AS m FROM copart JOIN predicted a ON a.node = src JOIN predicted b ON b.node = dst AND a.pid = b.pid WHERE weight > 0 GROUP BY 1), n AS (SELECT pid AS cid, count(*) AS nodes FROM predicted GROUP BY 1),
+    c AS (SELECT pid AS cid, count(DISTINCT node) AS n_members, count(DISTINCT bait) AS n_partners FROM predicted JOIN inter ON prey = node WHERE inter.weight > 60 GROUP BY 1)
+    SELECT n.cid, nodes, coalesce(m, 0) AS edges, round(2 * coalesce(m, 0) / CAST(nodes * (nodes - 1) AS DOUBLE), 6) AS density, 2 * coalesce(m, 0) / CAST(nodes * (nodes - 1) AS DOUBLE) > 0.8 AS dense, round(score, 6) AS score, coalesce(n_members, 0) AS n_members, coalesce(n_partners, 0) AS n_partners
+    FROM n LEFT JOIN m USING (cid) LEFT JOIN scores ON pid = cid LEFT JOIN c USING (cid)""",
+)
+def community_pages(spark, sf):
+    own = views.predicted(spark, sf).withColumnRenamed("pid", "cid")
+    scores = views.scores(spark, sf).withColumnRenamed("pid", "cid")
+    return rounded(reporting.community_pages(graph.induced_edges(views.copart(spark, sf), own), own, scores, views.interactions(spark, sf).filter("weight > 60")))
+
+
+_MAP = """met AS (SELECT bait, prey, weight FROM inter WHERE weight > 60 AND prey IN (SELECT node FROM bra)),
+    own AS (SELECT DISTINCT bait, node, pid AS cid FROM met JOIN bra ON node = prey)"""
+
+
+@query("interaction_map", ["inter", "bra"], f"""WITH {_MAP} SELECT CAST(bait AS VARCHAR) AS source, CAST(prey AS VARCHAR) AS target, 'interaction' AS kind, weight FROM met
+    UNION ALL SELECT DISTINCT CAST(node AS VARCHAR), cid, 'member', CAST(1 AS DOUBLE) FROM own""")
+def interaction_map(spark, sf):
+    return reporting.interaction_map(views.interactions(spark, sf).filter("weight > 60"), views.brands(spark, sf))
+
+
+@query("bait_maps", ["inter", "sup", "selfov"], """WITH met AS (SELECT bait, prey, weight FROM inter WHERE weight > 60 AND prey IN (SELECT node FROM sup)), own AS (SELECT DISTINCT bait, node, cid FROM met JOIN sup ON node = prey), t AS (SELECT DISTINCT bait, cid FROM own)
+    SELECT bait, CAST(bait AS VARCHAR) AS source, CAST(prey AS VARCHAR) AS target, 'interaction' AS kind, round(weight, 6) AS weight FROM met
+    UNION ALL SELECT bait, CAST(node AS VARCHAR), CAST(cid AS VARCHAR), 'member', CAST(1 AS DOUBLE) FROM own
+    UNION ALL SELECT a.bait, CAST(cid1 AS VARCHAR), CAST(cid2 AS VARCHAR), 'overlap', round(c / (n1 + n2 - c), 6) FROM selfov JOIN t a ON a.cid = cid1 JOIN t b ON b.cid = cid2 AND a.bait = b.bait""")
+def bait_maps(spark, sf):
+    return rounded(reporting.bait_maps(views.interactions(spark, sf).filter("weight > 60"), views.supplier_parts(spark, sf)))
+
+
 _REGISTRY = "SELECT p_brand AS classifier, p_retailprice AS score, p_type || '(' || p_name || ',' || CAST(p_partkey AS VARCHAR) || ')' AS pipeline FROM part"
 
 
