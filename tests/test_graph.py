@@ -301,3 +301,71 @@ def test_saved_models(spark, name, tmp_path):
     fitted.save(str(tmp_path / "m"))
     scores = lambda m: [round(r.score, 9) for r in m.score(rows).orderBy("x").collect()]
     assert scores(models.Classifier.load(str(tmp_path / "m"))) == scores(fitted)
+
+
+def test_sparse_matching():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (4, 7), (7, 4), (6, 6)):
+        weights = rng.random((n, m)) * (rng.random((n, m)) < 0.5)
+        wide = weights if n <= m else weights.T
+        best = max(sum(wide[i, j] for i, j in enumerate(p)) for p in __import__("itertools").permutations(range(wide.shape[1]), wide.shape[0]))
+        row, column = np.nonzero(weights)
+        found = metrics.sparse_assignment(row, column, weights[row, column], weights.shape)
+        assert len({i for i, _ in found}) == len({j for _, j in found}) == len(found)
+        assert sum(weights[i, j] for i, j in found) == pytest.approx(best)
+
+
+def test_matching_at_each_threshold(spark):
+    rng = np.random.default_rng(5)
+    known = members_of(spark, [set(map(str, rng.integers(0, 30, 6))) for _ in range(12)]).withColumnRenamed("cid", "kid")
+    found = members_of(spark, [set(map(str, rng.integers(0, 30, 5))) for _ in range(9)]).withColumnRenamed("cid", "pid")
+    scores = spark.createDataFrame([(i, i / 8) for i in range(9)], "pid long, score double")
+    k = overlap.sizes(known, "kid", "n")
+    curve = {r.step: r for r in metrics.matching_curve(overlap.overlaps(known, found), k, scores).collect()}
+    assert len(curve) == 10
+    for step in (0, 4, 9):
+        kept = found.join(scores.filter(F.col("score") >= step / 10), "pid", "left_semi")
+        want = metrics.matching_metrics(overlap.overlaps(known, kept), k, overlap.sizes(kept, "pid", "n")).first()
+        assert curve[step].precision == pytest.approx(want.precision) and curve[step].recall == pytest.approx(want.recall)
+
+
+def test_weighted_cliques(spark):
+    known = spark.createDataFrame([(1, x) for x in "abcd"] + [(2, x) for x in "def"], "kid long, node string")
+    predicted = spark.createDataFrame([(1, x) for x in "abcx"] + [(2, x) for x in "cef"], "pid long, node string")
+    row = metrics.weighted_clique_precision_recall(known, predicted, 2, 0.0).first()
+    # abc: 3 pairs of weight 1; cef: ef is known, ce and cf are not. abcd: 6 pairs of weight 2/3, three found; def: ef of weight 1.
+    assert (row.tp, row.fp) == (4.0, 2.0) and (row.known_tp, row.fn) == (pytest.approx(3.0), pytest.approx(4.0))
+
+
+def test_folders_of_predictions(spark, tmp_path):
+    for folder, name, line in (("run1", "res_pred_comp_list0", "a b c 0.5"), ("run1", "res_pred.out", "a b 0.25"), ("run2", "res_pred_comp_list1", "d e 0.75"), ("run2", "res_pred.out", "d e f 1.0"), (".", "res_pred_comp_list0", "g h 0.5"), (".", "res_pred_comp_list1", "i j 0.5"), (".", "res_pred_comp_list2", "k l 0.5")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(line + "\n")
+    read = lambda **mode: sorted(" ".join(r.members) for r in text.read_prediction_folders(spark, str(tmp_path), **mode).collect())
+    assert read(folders=["run1"]) == ["a b c"] and read(prefix="run") == ["a b c", "d e"]
+    assert read(final_prefix="run") == ["a b", "d e f"] and read(parts=2) == ["g h", "i j"]
+    with pytest.raises(ValueError):
+        read(prefix="run", parts=1)
+    (tmp_path / "map.csv").write_text("Bait,Prey,Score\nb1,p1,0.5\nb1,p1,0.75\n,p2,1\n")
+    assert [tuple(r) for r in text.read_interactions(spark, str(tmp_path / "map.csv")).collect()] == [("b1", "p1", 0.75)]
+
+
+def test_written_outputs(spark, tmp_path):
+    edges = edges_of(spark, [p for g in TOY for p in g])
+    found = spark.createDataFrame([(["a1", "a2", "a3"], 0.5), (["a1", "a2", "b1", "b2"], 0.9)], "members array<string>, score double")
+    train, test = (spark.createDataFrame([(x,) for x in nodes], "node string") for nodes in (["a1", "a2"], ["b1", "b2", "a1"]))
+    sinks.write_found(found, edges, train, test, str(tmp_path))
+    lines = lambda name: [r.value for r in spark.read.text(str(tmp_path / name)).collect()]
+    assert [r.members for r in text.read_predictions(spark, str(tmp_path / "res_pred.out")).orderBy(F.desc("score")).collect()] == [["a1", "a2", "b1", "b2"], ["a1", "a2", "a3"]]
+    assert sorted(filter(None, lines("res_pred_edges.out"))) == ["a1 a2 1.0", "a1 a2 1.0", "a1 a3 1.0", "a2 a3 1.0", "b1 b2 1.0"] and lines("res_pred_edges.out").count("") == 2
+    every = "res_tot_pred_edges_unique_max_comp_prob"
+    assert sorted(lines(f"{every}.out")) == ["a1\ta2\t0.900", "a1\ta3\t0.500", "a2\ta3\t0.500", "b1\tb2\t0.900"]
+    assert sorted(lines(f"{every}_inKnown.out")) == ["a1\ta2\t0.900", "b1\tb2\t0.900"]
+    assert lines(f"{every}_inKnown_train.out") == ["a1\ta2\t0.900"] and lines(f"{every}_inKnown_test.out") == ["b1\tb2\t0.900"]
+    own = members_of(spark, [["a1", "a2"], ["b1", "b2", "b3"]])
+    sinks.write_known(own, graph.induced_edges(edges, own), str(tmp_path))
+    assert sorted(lines("res_known.out")) == ["a1 a2", "b1 b2 b3"] and len(lines("res_tot_known_edges_unique.out")) == 4
+    assert lines("res_known_edges.out") == ["a1 a2 1.0", "", "b1 b2 1.0", "b1 b3 1.0", "b2 b3 1.0", ""]
+    matches = spark.createDataFrame([(["a"], ["b"], 0.5, 0.25), (["c", "d"], ["c"], 0.75, 1.0)], "known array<string>, predicted array<string>, f1 double, score double")
+    sinks.write_best_matches(matches, str(tmp_path / "matches"))
+    assert [x for x in lines("matches") if not x.startswith("Known")] == ["c d ||| c ||| 0.750 ||| 1.000", "a ||| b ||| 0.500 ||| 0.250"]
