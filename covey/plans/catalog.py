@@ -823,6 +823,14 @@ def merge_overlapping(spark, sf):
     return rounded(merged.select(F.array_join(F.col("members").cast("array<string>"), " ").alias("members"), "score"))
 
 
+@query("merge_nearest")
+def merge_nearest(spark, sf):
+    edges = stored(views.copart(spark, sf))
+    grown = merge.distinct_candidates(_candidates(spark, sf, "heaviest").select("members", "score"))
+    merged = merge.merge_nearest(grown, edges, 0.3, dense_score)
+    return rounded(merged.select(F.array_join(F.col("members").cast("array<string>"), " ").alias("members"), "score"))
+
+
 def _walk_plan(spark, sf):
     """``size, n``: negatives of all sizes of baskets, a tenth more than there are baskets."""
     return training.same_sizes(_basket_sizes(spark, sf), 1.1)

@@ -369,3 +369,40 @@ def test_written_outputs(spark, tmp_path):
     matches = spark.createDataFrame([(["a"], ["b"], 0.5, 0.25), (["c", "d"], ["c"], 0.75, 1.0)], "known array<string>, predicted array<string>, f1 double, score double")
     sinks.write_best_matches(matches, str(tmp_path / "matches"))
     assert [x for x in lines("matches") if not x.startswith("Known")] == ["c d ||| c ||| 0.750 ||| 1.000", "a ||| b ||| 0.500 ||| 0.250"]
+
+
+@pytest.mark.parametrize("method", ["jaccard", "qi"])
+def test_merge_nearest_equals_plain_rounds(spark, method):
+    rng = np.random.default_rng(11)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 14, (60, 2)) if a < b})
+    graph_rows = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src long, dst long, weight double")
+    own = sorted({(tuple(sorted(rng.choice(14, rng.integers(3, 6), replace=False).tolist())), round(float(rng.random()) * 0.6, 3)) for _ in range(30)})
+    dense = lambda m: 2 * sum(a in m and b in m for a, b in edges) / (len(m) * (len(m) - 1))
+    rows = spark.createDataFrame([(list(m), s) for m, s in own], "members array<long>, score double")
+    name = {(tuple(r.members), r.score): r.cid for r in rows.withColumn("cid", F.md5(F.to_json(F.struct("members", "score")))).collect()}
+
+    def near(x, y):
+        shared, a, b = len({*x[0]} & {*y[0]}), len(x[0]), len(y[0])
+        if method == "jaccard":
+            return shared / (a + b - shared), shared / (a + b - shared) >= 0.4
+        return shared / a * (shared / b), shared / a >= 0.4 and shared / b >= 0.4
+
+    def cid(c):
+        if c not in name:
+            name[c] = spark.createDataFrame([(list(c[0]), c[1])], "members array<long>, score double").select(F.md5(F.to_json(F.struct("members", "score")))).first()[0]
+        return name[c]
+
+    want = set(own)
+    while pairs := [(-near(x, y)[0], cid(x), cid(y), x, y) for x in want for y in want if cid(x) < cid(y) and near(x, y)[1]]:
+        best = {c: min(p[:3] for p in pairs if c in p[3:]) for c in {c for p in pairs for c in p[3:]}}
+        for p in pairs:
+            x, y = p[3:]
+            if best[x] == p[:3] == best[y]:
+                union = tuple(sorted({*x[0], *y[0]}))
+                value = dense(union)
+                if value > x[1] and value > y[1]:
+                    want = want - {x, y} | {(union, value)}
+                else:
+                    want = want - {x if x[1] < y[1] else y}
+    got = sorted((tuple(r.members), round(r.score, 9)) for r in merge.merge_nearest(rows, graph_rows, 0.4, density, method).collect())
+    assert got == sorted((m, round(s, 9)) for m, s in want) and len(got) < len(own) and any(c not in own for c in want)
