@@ -258,7 +258,7 @@ class TokenCounter:
 class TokenEncoder:
     """Token ids of whole texts, by the library, one call for each distinct word that a worker meets."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -266,6 +266,12 @@ class TokenEncoder:
         code = byte_alphabet()
         self.special, self.special_id = special_token(spec)
         ranks = {bytes(code[c] for c in k): v for k, v in spec["model"]["vocab"].items() if v != self.special_id}
+        merged = [ranks[bytes(code[c] for c in (x.replace(" ", "") if isinstance(x, str) else "".join(x)))] for x in spec["model"]["merges"]]
+        if any(a >= b for a, b in zip(merged, merged[1:])):
+            raise ValueError("token ids do not follow the order of the merges")
+        self.bytes_of = {v: k for k, v in ranks.items()}
+        if not special:  # its string in a text is plain text
+            self.special = None
         self.library = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.size = max([*ranks.values(), self.special_id]) + 1
         self.table = WordTable()
@@ -298,6 +304,6 @@ def counter(path: str) -> TokenCounter:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> TokenEncoder:
-    """One for each Python worker and vocabulary file."""
-    return TokenEncoder(path)
+def encoder(path: str, special: bool = True) -> TokenEncoder:
+    """One for each Python worker and vocabulary file; without ``special`` the added token's string is plain text."""
+    return TokenEncoder(path, special)
