@@ -264,11 +264,13 @@ def find_runs(docs: DataFrame, long_chars: int = LONG_CHARS, tile: int = TILE_WO
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` where a tenth of the documents, by a hash of the id, repeat a part of themselves to the end."""
     h = F.crc32(F.col("doc_id").cast("string"))
-    chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")).alias("words"))
-    sized = chosen.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
-    sized = sized.withColumn("p", F.expr("1 + floor((n - a) / (3 + g % 8))"))
-    tail = F.expr("array_join(transform(sequence(0L, n - 1L), i -> words[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')")
-    return sized.select("doc_id", F.when(F.col("n") > 0, tail).otherwise(F.col("text")).alias("text"))
+    # Words and numbers are bound once a row, wherever the optimiser puts the expression.
+    words = r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+    bound = f"transform(filter(array({words}), w -> size(w) > 0), w -> struct(w, g % size(w) as a, 1 + floor((size(w) - g % size(w)) / (3 + g % 8)) as p))"
+    word = "x.w[cast(if(i < x.a, i, x.a + (i - x.a) % x.p) as int)]"
+    tail = F.expr(f"get(transform({bound}, x -> array_join(transform(sequence(0L, size(x.w) - 1L), i -> {word}), ' ')), 0)")
+    hashed = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), (h % 10 == 0).alias("chosen"))
+    return hashed.select("doc_id", F.coalesce(F.when(F.col("chosen"), tail), "text").alias("text"))
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
