@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import forget, stored
 from .components import components
 from .ranges import percentile
 
@@ -48,51 +50,71 @@ def drop_equal_rows(rows: DataFrame, others: DataFrame, columns: list[str]) -> D
     return rows.join(others.select(*columns).distinct(), columns, "left_anti")
 
 
+#: Steps that walks take between two stored tables.
+STEPS = 4
+
+
 def random_walks(neighbours: DataFrame, plan: DataFrame, seed: int = 0, retries: int = 10) -> DataFrame:
     """``gid, src, dst, weight``: walked edges of negatives; ``plan(size, n)`` says how many of each size.
 
-    All walks take a step together: the walkers join the adjacency and each takes
-    the neighbour with the smallest hash of walker, step and neighbour, which is
-    uniform and the same on every run.  A walk ends with ``size`` nodes or after
-    ``size + 10`` steps.  A walk that ends short starts anew, at most ``retries``
-    times; then its last try is kept.
+    All walks take a step together: a walker draws a place among the neighbours of
+    its node by a hash of walker, try and step, which is uniform and the same on
+    every run, and joins the adjacency at that place, so a step is one row a
+    walker.  A walk ends with ``size`` nodes or after ``size + 10`` steps.  A walk that
+    ends short starts anew beside those that go on, at most ``retries`` times; then
+    its last try is kept.
     """
-    starts = neighbours.select("node").distinct()
-    walks = plan.select("size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select(F.xxhash64("size", "i", F.lit(seed)).alias("gid"), F.col("size").cast("int").alias("size"))
+    kind = dict(neighbours.dtypes)["node"]
+    ranked = neighbours.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("nbr")) - 1)
+    degrees = neighbours.groupBy(F.col("node").alias("nbr")).agg(F.count("*").alias("degree"))
+    around = stored(ranked.join(degrees, "nbr").select(F.col("node").alias("at"), F.col("place").cast("long").alias("place"), "nbr", F.col("weight").cast("double").alias("weight"), "degree"))
+    nodes = degrees.select(F.col("nbr").alias("node"), "degree")
     # Starting nodes by rank in a hash order, without a global sort: both sides are dealt into ranges of the hash space.
-    buckets = max(1, starts.count() // 50)
-    dealt = starts.withColumn("bucket", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(buckets)))
-    span = dealt.groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    done, todo = None, walks.withColumn("try", F.lit(0))
-    for attempt in range(retries + 1):
-        h = F.xxhash64("gid", F.lit(attempt), F.lit(seed))
-        first = todo.withColumn("bucket", F.pmod(h, F.lit(buckets))).join(span, "bucket").withColumn("at", F.element_at("nodes", (F.pmod(F.shiftrightunsigned(h, 20), F.size("nodes")) + 1).cast("int")))
-        state = stored(first.select("gid", "size", "at", F.array("at").alias("seen"), F.expr("cast(array() as array<struct<src: bigint, dst: bigint, weight: double>>)").alias("edges")))
-        kind = dict(neighbours.dtypes)["node"]
-        state = state.withColumn("edges", F.expr(f"cast(array() as array<struct<src: {kind}, dst: {kind}, weight: double>>)"))
-        longest = plan.agg(F.max("size")).first()[0] or 0
-        for step in range(longest + 10):
-            going = state.filter((F.size("seen") < F.col("size")) & (F.lit(step) < F.col("size") + 10))
-            if step % 4 == 0 and not going.limit(1).count():
-                break
-            best = going.select("gid", F.col("at").alias("node")).join(neighbours, "node").groupBy("gid").agg(F.min_by(F.struct("node", "nbr", "weight"), F.struct(F.xxhash64("gid", "nbr", F.lit(step), F.lit(attempt)), "nbr")).alias("e"))
-            moved = state.join(best, "gid", "left")
-            edge = F.struct(F.least("e.node", "e.nbr").alias("src"), F.greatest("e.node", "e.nbr").alias("dst"), F.col("e.weight").cast("double").alias("weight"))
-            state = stored(
-                moved.select(
-                    "gid",
-                    "size",
-                    F.coalesce("e.nbr", "at").alias("at"),
-                    F.when(F.col("e").isNull(), F.col("seen")).otherwise(F.array_union("seen", F.array("e.nbr"))).alias("seen"),
-                    F.when(F.col("e").isNull(), F.col("edges")).otherwise(F.array_union("edges", F.array(edge))).alias("edges"),
-                )
-            )
-        full = state.filter(F.size("seen") >= F.col("size")) if attempt < retries else state
-        done = full if done is None else done.unionByName(full)
-        todo = stored(state.join(full.select("gid"), "gid", "left_anti").select("gid", "size"))
-        if not todo.count():
+    buckets = max(1, nodes.count() // 50)
+    dealt = nodes.withColumn("bucket", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(buckets)))
+    span = stored(dealt.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "degree"))).alias("nodes")))
+    empty = F.expr(f"cast(array() as array<struct<src: {kind}, dst: {kind}, weight: double>>)")
+
+    def begun(walks: DataFrame) -> DataFrame:
+        h = F.xxhash64("gid", "try", F.lit(seed))
+        first = walks.withColumn("bucket", F.pmod(h, F.lit(buckets))).join(span, "bucket").withColumn("first", F.element_at("nodes", (F.pmod(F.shiftrightunsigned(h, 20), F.size("nodes")) + 1).cast("int")))
+        return first.select("gid", "size", "try", F.lit(0).alias("step"), F.col("first.node").alias("at"), F.col("first.degree").alias("degree"), F.array("first.node").alias("seen"), empty.alias("edges"))
+
+    goes = (F.size("seen") < F.col("size")) & (F.col("step") < F.col("size") + 10)
+
+    def moved(state: DataFrame) -> DataFrame:
+        drawn = F.when(goes, F.pmod(F.xxhash64("gid", "try", "step", F.lit(seed)), F.col("degree")))
+        then = state.withColumn("place", drawn).join(around.withColumnRenamed("degree", "next"), ["at", "place"], "left")
+        stays = F.col("nbr").isNull()
+        edge = F.struct(F.least("at", "nbr").alias("src"), F.greatest("at", "nbr").alias("dst"), "weight")
+        return then.select(
+            "gid",
+            "size",
+            "try",
+            (F.col("step") + F.when(stays, 0).otherwise(1)).alias("step"),
+            F.coalesce("nbr", "at").alias("at"),
+            F.coalesce("next", "degree").alias("degree"),
+            F.when(stays, F.col("seen")).otherwise(F.array_union("seen", F.array("nbr"))).alias("seen"),
+            F.when(stays, F.col("edges")).otherwise(F.array_union("edges", F.array(edge))).alias("edges"),
+        )
+
+    walks = plan.select(F.col("size").cast("int").alias("size"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("i"))
+    state = begun(walks.select(F.xxhash64("size", "i", F.lit(seed)).alias("gid"), "size", F.lit(0).alias("try")))
+    short = (F.size("seen") < F.col("size")) & (F.col("try") < retries)
+    done, tables = [], []
+    while True:
+        for _ in range(STEPS):
+            state = moved(state)
+        state = stored(state)
+        tables.append(state)
+        done.append(state.filter(~goes & ~short).select("gid", "seen", "edges"))
+        if not state.filter(goes | short).limit(1).count():
             break
-    return done.filter(F.size("seen") >= 3).select("gid", F.explode("edges").alias("e")).select("gid", "e.*")
+        again = state.filter(~goes & short).select("gid", "size", (F.col("try") + 1).alias("try"))
+        state = state.filter(goes).unionByName(begun(again))
+    ended = stored(reduce(DataFrame.unionByName, done).filter(F.size("seen") >= 3).select("gid", F.explode("edges").alias("e")).select("gid", "e.*"))
+    forget(around, span, *tables)
+    return ended
 
 
 def seeds(edges_nodes: DataFrame, mode: str, k: int | None = None, known: DataFrame | None = None, seed: int = 0) -> DataFrame:

@@ -429,7 +429,7 @@ def unite_known(spark, sf):
 
 @query("saved_model")
 def saved_model(spark, sf):
-    fitted, _, rest = _return_model(spark, sf, "SVM")
+    fitted, rest = _community_model(spark, sf, "SVM")
     path = scratch(spark)
     fitted.save(path)
     return rounded(models.Classifier.load(path).score(rest).groupBy("label", "pred").agg(F.count("*").alias("n"), F.avg("score").alias("score")))
@@ -849,16 +849,16 @@ def detect_communities(spark, sf):
     return rounded(detect.measure(found, known, split, without=("matching",)))
 
 
-def _return_model(spark, sf, name):
-    """A model of returned lines, its columns and the rows that it was not fitted to."""
-    columns = FEATURES[:5]
-    lines = views.table(spark, sf, "lineitem")
-    values = dict(zip(columns, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"], strict=True))
-    rows = lines.select(*(F.col(v).cast("double").alias(c) for c, v in values.items()), (F.col("l_returnflag") == "R").cast("double").alias("label"), F.pmod(F.xxhash64("l_orderkey"), F.lit(10)).alias("fold"))
-    return models.train(rows.filter("fold < 7"), columns, name), columns, rows.filter("fold >= 7")
+def _community_model(spark, sf, name):
+    """A model of the known communities and of as many walked negatives and a tenth more, and the rows that it was not fitted to."""
+    edges = stored(views.copart(spark, sf))
+    known = stored(views.known(spark, sf).withColumnRenamed("kid", "cid"))
+    rows = detect.taught_rows(edges, stored(graph.adjacency(edges)), known, stored(sizes(known, "cid", "size")), detect.Job())
+    dealt = stored(training.stratified_folds(rows, "label", "cid", 10))
+    return models.train(dealt.filter("fold < 7"), FEATURES, name), dealt.filter("fold >= 7")
 
 
 @query("train_and_test")
 def train_and_test(spark, sf):
-    fitted, _, rest = _return_model(spark, sf, "log_reg")
+    fitted, rest = _community_model(spark, sf, "log_reg")
     return rounded(models.evaluate(fitted, rest))
