@@ -37,6 +37,8 @@ from .transducer import WordTable, encoder
 
 #: Characters in a part of a long text.
 CHUNK_CHARS = 1 << 20
+#: Text bytes encoded at once inside a task.
+SLICE_BYTES = 1 << 20
 #: Steps of the merge in a piece.
 PIECE_STEPS = 1 << 16
 #: Pairs that are looked up instead of joined, at most.
@@ -157,7 +159,7 @@ def _aligned(path_a: str, path_b: str, steps: int):
             size_a[i] = len(token)
         size_b = np.array([len(x) for x in b.bytes_of])
         width, tables = len(b.bytes_of), _signed(max(a.size, len(b.bytes_of)))
-        for batch in _words.slices(batches, "text"):
+        for batch in _words.slices(batches, "text", SLICE_BYTES):
             n = batch.num_rows
             own, offsets = _words.buffers(batch.column("text"))
             # A space before each text.
