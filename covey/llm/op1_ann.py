@@ -11,9 +11,9 @@ the share found reaches the target.
 Vectors of different lengths are handled as they are: the order of leaves only
 decides where to look, and scores are exact inner products in double precision.
 
-Equal vectors are one point in the search.  For each only the ``k + 1`` smallest
-ids can be among anyone's ``k`` nearest, so these are carried along and the rest
-need no comparison.
+Equal vectors are one point in the search.  Of each only the ``k + 1`` rows with the
+smallest ids can be among anyone's ``k`` nearest, one of them being the query's own
+row, so these are carried along and the rest need no comparison.
 
 Neighbouring leaves make shards of bounded size (a larger leaf makes several), so
 a query travels once to each shard that has leaves for it.  A task holds the
@@ -21,8 +21,8 @@ points of one shard and streams the queries past them.
 
 Vectors that are null, empty, zero, of another length than most, or hold null or
 non-finite components take no part, neither do null ids.  Repeated rows of an id
-are candidates of their own and queries of their own; a query's own id is never
-its neighbour.  With fewer candidates than ``k`` all are returned.
+are candidates of their own and queries of their own: a query leaves out one row
+with its id and vector, its own, and no other.  With fewer candidates than ``k`` all are returned.
 """
 
 from __future__ import annotations
@@ -148,8 +148,11 @@ def _visits(tree: Tree, shards: np.ndarray, width: int, most: int):
     return run
 
 
-def _nearest(query: np.ndarray, points: np.ndarray, ids: list[list[int]], at: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
-    """The ``k`` nearest ids among the points ``at``, by score, then id; all points that tie with the last one count."""
+def _nearest(query: np.ndarray, points: np.ndarray, ids: list[list[int]], at: np.ndarray, own: int, k: int) -> list[tuple[int, float, int]]:
+    """The ``k`` nearest rows among the points ``at``, by score, then id, with their points; all points that tie with the last one count.
+
+    Of the query's id and vector one row is its own and left out; more such rows are rows like others.
+    """
     rough = points[at] @ query
     most = min(len(at), k + 1)  # one point may be the query's own
     floor = np.partition(rough, len(at) - most)[len(at) - most]
@@ -157,8 +160,13 @@ def _nearest(query: np.ndarray, points: np.ndarray, ids: list[list[int]], at: np
     exact = np.zeros(len(close))
     for j in range(len(query)):  # in one order wherever the point lies, so equal pairs get equal scores
         exact += points[close, j] * query[j]
-    found = [(-s, x) for i, s in zip(close.tolist(), exact.tolist(), strict=True) for x in ids[i] if x != own]
-    return [(x, -s) for s, x in heapq.nsmallest(k, found)]
+    found = []
+    for i, s in zip(close.tolist(), exact.tolist(), strict=True):
+        rows = [(-s, x, i) for x in ids[i]]
+        if own in ids[i] and np.array_equal(points[i], query):
+            rows.remove((-s, own, i))
+        found += rows
+    return [(x, -s, i) for s, x, i in heapq.nsmallest(k, found)]
 
 
 _KINDS = {"query_row": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
@@ -190,7 +198,7 @@ def _search(width: int, k: int):
                     for x, number, name, leaves in zip(_matrix(part.column("vector"), width), *(part.column(c).to_pylist() for c in ("query_row", "query_id", "leaves")), strict=True):
                         inside = [order[n] for n in leaves if n in order]
                         if inside:
-                            rows += [(number, name, y, s) for y, s in _nearest(x, points, ids, np.concatenate(inside), name, k)]
+                            rows += [(number, name, y, s) for y, s, _ in _nearest(x, points, ids, np.concatenate(inside), name, k)]
                 at = to
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _KINDS]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS.values(), strict=True)], list(_KINDS))
@@ -204,9 +212,8 @@ def _brute(queries: list[tuple[int, np.ndarray]], width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points, ids, leaf = _matrix(batch.column("vector"), width), batch.column("ids").to_pylist(), batch.column("leaf").to_pylist()
-            leaf_of = {x: leaf[i] for i, own in enumerate(ids) for x in own}
             at = np.arange(len(points))
-            rows = [(own, x, s, leaf_of[x]) for own, q in queries for x, s in _nearest(q, points, ids, at, own, k)]
+            rows = [(own, x, s, leaf[i]) for own, q in queries for x, s, i in _nearest(q, points, ids, at, own, k)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)], ["query_id", "vec_id", "score", "leaf"])
 
