@@ -39,6 +39,8 @@ from .transducer import WordTable, encoder
 CHUNK_CHARS = 1 << 20
 #: Text bytes encoded at once inside a task.
 SLICE_BYTES = 1 << 20
+#: Distinct words whose ids a worker keeps for each tokenizer.
+KEPT_WORDS = 300_000
 #: Steps of the merge in a piece.
 PIECE_STEPS = 1 << 16
 #: Pairs that are looked up instead of joined, at most.
@@ -65,7 +67,7 @@ class PieceEncoder:
             raise ValueError("the model has pieces over several words, or none for a space")
         self.blank = pieces.index(BLANK)
         self.bytes_of = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
-        self.table = WordTable()
+        self.table = WordTable(KEPT_WORDS)
         self.ids, self.bounds, self.whole = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,6 +156,7 @@ ALIGNED = "row long, doc_id long, chunk int, chunks int, ok boolean, n_a long, n
 def _aligned(path_a: str, path_b: str, steps: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = encoder(path_a, False), _pieces(path_b)
+        a.table.limit = KEPT_WORDS
         size_a = np.zeros(a.size, np.int64)
         for i, token in a.bytes_of.items():
             size_a[i] = len(token)

@@ -201,15 +201,16 @@ def special_token(spec: dict) -> tuple[bytes | None, int]:
 class WordTable:
     """Keeps a result for every distinct word that a worker has met, found by the word's hash."""
 
-    def __init__(self) -> None:
+    def __init__(self, limit: int = MAX_WORDS) -> None:
+        self.limit = limit
         self.keys = np.zeros(0, np.uint64)
         self.rows = np.zeros(0, np.int64)
         self.size = 0
 
     def rows_of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A row number for each word; and where the words start that have new rows, which follow the old ones."""
-        if self.size > MAX_WORDS:
-            self.__init__()
+        if self.size > self.limit:
+            self.__init__(self.limit)
         code, distinct = pd.factorize(hash_spans(data, start, end))
         at = np.searchsorted(self.keys, distinct)
         at[at == len(self.keys)] = 0
