@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, graph, merge, metrics, models, overlap, reporting, search, training
+from ..operators import clique_samples, features, graph, merge, metrics, models, overlap, reporting, search, training
 from ..sources.text import FEATURES
 from ..sources.scratch import scratch, stored
 from . import detect, views
@@ -414,12 +414,12 @@ def clique_pr_k3(spark, sf):
 
 @query("clique_curve")
 def clique_curve(spark, sf):
-    return rounded(metrics.clique_curve(views.known(spark, sf), views.predicted(spark, sf)))
+    return rounded(clique_samples.sampled_clique_curve(views.known(spark, sf), views.predicted(spark, sf)))
 
 
 @query("clique_summary")
 def clique_summary(spark, sf):
-    return rounded(metrics.clique_summary(metrics.clique_curve(views.known(spark, sf), views.predicted(spark, sf))))
+    return rounded(metrics.clique_summary(stored(clique_samples.sampled_clique_curve(views.known(spark, sf), views.predicted(spark, sf)))))
 
 
 @query("unite_known")
