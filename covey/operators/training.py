@@ -10,20 +10,54 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import forget, stored
 from .components import components
-from .ranges import percentile
+from .ranges import percentile, running_sums
+
+
+#: A component of communities with at least this share of them all is placed by itself; there are few of these.
+LARGE = 0.01
+#: Cells in which sums of large components are told apart.
+CELLS = 10_000
+
+
+def _chosen(sizes: list[int], wanted: float, small: int) -> list[bool]:
+    """Which large components go to the first side, so that it can reach ``wanted`` with some of the ``small`` rest."""
+    total = max(1, sum(sizes) + small)
+    cells = [max(1, round(s * CELLS / total)) for s in sizes]
+    reached = [1]  # bit i: some of the first components fill i cells
+    for c in cells:
+        reached.append(reached[-1] | reached[-1] << c)
+    low, high = round((wanted - small) * CELLS / total), round(wanted * CELLS / total)
+    best = min((i for i in range(reached[-1].bit_length()) if reached[-1] >> i & 1), key=lambda i: (max(low - i, i - high, 0), abs(i - (low + high) / 2)))
+    taken = []
+    for c, before in zip(reversed(cells), reversed(reached[:-1]), strict=True):
+        taken.append(not before >> best & 1)
+        best -= c if taken[-1] else 0
+    return taken[::-1]
 
 
 def independent_split(induced: DataFrame, membership: DataFrame, share: float = 0.7, seed: int = 0) -> DataFrame:
-    """``cid, train``: communities that share an edge, also over others, fall on one side.
+    """``cid, train``: communities that share an edge, also over others, fall on one side, and ``share`` of all fall on the first.
 
-    The components of edge sharing are dealt by the hash of their smallest id, so
-    the sides have no edge in common whatever the shares come out as.
+    The components of edge sharing are whole.  Those with 1 % of all communities
+    or more, a hundred at most, are placed first; the others follow in a hash order
+    until the share is reached, so it is met to 1 % wherever the large ones allow it.
     """
     ids = membership.select("cid").distinct()
     with_edge = induced.select(F.xxhash64(F.lit("c"), "cid").alias("a"), F.xxhash64(F.lit("e"), "src", "dst").alias("b"))
     named = ids.join(components(with_edge), F.xxhash64(F.lit("c"), "cid") == F.col("node"), "left")
-    part = F.coalesce("component", F.xxhash64(F.lit("c"), "cid"))
-    return named.select("cid", (F.pmod(F.xxhash64(part, F.lit(seed)), F.lit(10_000)) < share * 10_000).alias("train"))
+    named = stored(named.select("cid", F.coalesce("component", F.xxhash64(F.lit("c"), "cid")).alias("part")))
+    sizes_ = stored(named.groupBy("part").agg(F.count("*").alias("n")))
+    total = sizes_.agg(F.sum("n")).first()[0] or 0
+    large = F.col("n") >= max(1.0, LARGE * total)
+    top = sizes_.filter(large).orderBy(F.desc("n"), "part").collect() if total >= 1 / LARGE else []
+    rest = sizes_.filter(~large) if top or total >= 1 / LARGE else sizes_
+    small = total - sum(r.n for r in top)
+    taken = _chosen([r.n for r in top], share * total, small)
+    room = share * total - sum(r.n for r, t in zip(top, taken, strict=True) if t)
+    dealt = running_sums(rest.withColumn("h", F.xxhash64("part", F.lit(seed))), [F.col("h"), F.col("part")], {"upto": F.col("n")})
+    sides = dealt.select("part", (F.col("upto") - F.col("n") / 2 <= room).alias("train"))
+    placed = membership.sparkSession.createDataFrame([(r.part, t) for r, t in zip(top, taken, strict=True)], "part long, train boolean")
+    return named.join(sides.unionByName(placed), "part").select("cid", "train")
 
 
 def uniform_sizes(positive: DataFrame, scale: float) -> DataFrame:

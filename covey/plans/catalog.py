@@ -544,7 +544,9 @@ def distinct_candidates(spark, sf):
 
 @query("independent_split")
 def independent_split(spark, sf):
-    return training.independent_split(_induced(spark, sf)[0], views.brand_parts(spark, sf))
+    """Baskets, many of which share pairs of parts."""
+    known = stored(views.known(spark, sf).withColumnRenamed("kid", "cid"))
+    return training.independent_split(stored(graph.induced_edges(views.copart(spark, sf), known)), known)
 
 
 # Reports -------------------------------------------------------------------
@@ -846,7 +848,7 @@ def detect_communities(spark, sf):
     known = views.known(spark, sf).withColumnRenamed("kid", "cid")
     edges = stored(views.copart(spark, sf))
     found, split, _ = detect.detect(edges, known)
-    return rounded(detect.measure(found, known, split, without=("matching",)))
+    return rounded(detect.measure(found, known, split))
 
 
 def _community_model(spark, sf, name):
