@@ -301,24 +301,28 @@ def clique_summary(curve: DataFrame) -> DataFrame:
     return row.withColumn("grand_f1", F.when(F.col("least") > 0, F.col("k") / F.col("inverse")).otherwise(F.lit(0.0))).drop("least", "k", "inverse")
 
 
-def ranked_curve(scored: DataFrame) -> DataFrame:
-    """``score, tp, n, precision, recall, fpr`` at each distinct score, highest first; ``scored(score, label)`` with label 0 or 1.
+def _ranked(scored: DataFrame) -> DataFrame:
+    """``score, pos, tp, n, total_p, total`` of each distinct score, highest first.
 
-    Rows are first counted by score.  The running sums of the scores go over
-    ranges of scores: sums within a range, and of whole ranges, a few rows each.
+    Rows are counted by score once, and the counts are stored, as the running sums
+    over ranges of scores and the totals both read them.
     """
-    by_score = scored.groupBy("score").agg(F.sum("label").cast("long").alias("pos"), F.count("*").alias("all"))
-    out = running_sums(by_score, [F.desc("score")], {"tp": F.col("pos"), "n": F.col("all")}).select("score", "tp", "n")
-    whole = by_score.agg(F.sum("pos").alias("total_p"), F.sum("all").alias("total"))
-    out = out.crossJoin(whole)  # of one row
-    return out.select("score", "tp", "n", (F.col("tp") / F.col("n")).alias("precision"), sets.ratio(F.col("tp"), F.col("total_p")).alias("recall"), sets.ratio(F.col("n") - F.col("tp"), F.col("total") - F.col("total_p")).alias("fpr"))
+    by_score = stored(scored.groupBy("score").agg(F.sum("label").cast("long").alias("pos"), F.count("*").alias("all")))
+    out = running_sums(by_score, [F.desc("score")], {"tp": F.col("pos"), "n": F.col("all")}).select("score", "pos", "tp", "n")
+    return out.crossJoin(F.broadcast(by_score.agg(F.sum("pos").alias("total_p"), F.sum("all").alias("total"))))  # of one row
+
+
+def ranked_curve(scored: DataFrame) -> DataFrame:
+    """``score, tp, n, precision, recall, fpr`` at each distinct score, highest first; ``scored(score, label)`` with label 0 or 1."""
+    return _ranked(scored).select(
+        "score", "tp", "n", (F.col("tp") / F.col("n")).alias("precision"), sets.ratio(F.col("tp"), F.col("total_p")).alias("recall"), sets.ratio(F.col("n") - F.col("tp"), F.col("total") - F.col("total_p")).alias("fpr")
+    )
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """One row: the sum over scores of the gain in recall times the precision, without interpolation."""
-    counts = scored.groupBy("score").agg(F.sum("label").cast("long").alias("pos"))
-    curve = ranked_curve(scored).join(counts, "score")
-    return curve.agg(F.coalesce(sets.ratio(F.sum(F.col("pos") * F.col("precision")), F.sum("pos")), F.lit(0.0)).alias("average_precision"))
+    curve = _ranked(scored)
+    return curve.agg(F.coalesce(sets.ratio(F.sum(F.col("pos") * F.col("tp") / F.col("n")), F.sum("pos")), F.lit(0.0)).alias("average_precision"))
 
 
 def confusion(results: DataFrame) -> DataFrame:

@@ -28,9 +28,9 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) ->
 def percentile(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """One row, ``p0, p1, ...``: the interpolated percentiles of a column at ``shares``; nulls don't count.
 
-    Values are counted first, and only the counts are ranked.
+    Values are counted first, and only the counts, which are stored, are ranked.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    counts = stored(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")))
     ranked = running_sums(counts, [F.col("v")], {"upto": F.col("n")})
     ranked = ranked.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))  # of one row
     first, last = F.col("upto") - F.col("n"), F.col("upto") - 1  # places from 0

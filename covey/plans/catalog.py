@@ -96,8 +96,9 @@ def _sizes(membership: DataFrame, key: str) -> DataFrame:
 
 
 def _overlaps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    k, p = views.known(spark, sf), views.predicted(spark, sf)
-    return overlap.overlaps(k, p), _sizes(k, "kid"), _sizes(p, "pid")
+    """Pairs and sizes; what several branches of a plan read is stored."""
+    k, p = stored(views.known(spark, sf)), stored(views.predicted(spark, sf))
+    return stored(overlap.overlaps(k, p)), _sizes(k, "kid"), _sizes(p, "pid")
 
 
 def _type_brand(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,7 +225,7 @@ def edge_weight_stats(spark, sf):
     FROM base JOIN dg USING (cid) JOIN ccs USING (cid) JOIN dcs USING (cid) LEFT JOIN wt USING (cid)""",
 )
 def subgraph_features15(spark, sf):
-    return rounded(features.relational_features(*_induced(spark, sf)))
+    return rounded(features.relational_features(*map(stored, _induced(spark, sf))))
 
 
 @query("svd_features")
