@@ -856,7 +856,7 @@ def _community_model(spark, sf, name):
     """A model of the known communities and of as many walked negatives and a tenth more, and the rows that it was not fitted to."""
     edges = stored(views.copart(spark, sf))
     known = stored(views.known(spark, sf).withColumnRenamed("kid", "cid"))
-    rows = detect.taught_rows(edges, stored(graph.adjacency(edges)), known, stored(sizes(known, "cid", "size")), detect.Job())
+    rows = detect.taught_rows(edges, stored(graph.adjacency(edges)), known, stored(overlap.sizes(known, "cid", "size")), detect.Job())
     dealt = stored(training.stratified_folds(rows, "label", "cid", 10))
     return models.train(dealt.filter("fold < 7"), FEATURES, name), dealt.filter("fold >= 7")
 
