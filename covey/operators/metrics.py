@@ -227,12 +227,15 @@ def cliques(membership: DataFrame, key: str, k: int) -> DataFrame:
     return out
 
 
-def clique_precision_recall(known: DataFrame, predicted: DataFrame, k: int, pseudocount: float = 1e-5, excluded: DataFrame | None = None) -> DataFrame:
+def clique_precision_recall(known: DataFrame, predicted: DataFrame, k: int, pseudocount: float = 1e-5, excluded: DataFrame | None = None, restricted: bool = True) -> DataFrame:
     """One row: precision and recall of the distinct ``k``-subsets, exact.
 
     A predicted subset is right if a known community holds it; one inside a
-    community of ``excluded(kid, node)`` isn't counted as wrong.
+    community of ``excluded(kid, node)`` isn't counted as wrong.  Of predictions only
+    members in some known community count, all of them if not ``restricted``.
     """
+    if restricted:
+        predicted = known_only(predicted.select("pid", "node").distinct(), known, k)
     nodes = [f"n{i}" for i in range(1, k + 1)]
     held = lambda rows, key, name: cliques(rows, key, k).select(*nodes, F.lit(1).alias(name))
     sides = held(predicted, "pid", "p").unionByName(held(known, "kid", "g"), allowMissingColumns=True)
@@ -270,25 +273,6 @@ def weighted_clique_precision_recall(known: DataFrame, predicted: DataFrame, k:
     return row.select("tp", "fp", "known_tp", "fn", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("known_tp") / (F.col("known_tp") + F.col("fn"))).alias("recall"))
 
 
-def clique_curve(known: DataFrame, predicted: DataFrame, pseudocount: float = 1e-5) -> DataFrame:
-    """``k, tp, fp, fn, precision, recall, n_communities`` for ``k`` from 2 to the largest prediction.
-
-    ``n_communities`` is the number of predictions with ``k`` members or more.
-    Once no subset of two sizes in a row is shared, none of a larger size is, and
-    those sizes have zeros, and no ``fp`` and ``fn``, without being counted.
-    """
-    n = sizes(predicted, "pid", "n")
-    largest = n.agg(F.max("n")).first()[0] or 1
-    spark, rows = known.sparkSession, []
-    while len(rows) < largest - 1 and not (len(rows) > 1 and rows[-1][1] == rows[-2][1] == 0):
-        k = len(rows) + 2
-        rows.append((k, *clique_precision_recall(known, predicted, k, pseudocount).first()))
-    rows += [(k, 0, None, None, 0.0, 0.0) for k in range(len(rows) + 2, largest + 1)]
-    curve = spark.createDataFrame(rows, "k int, tp long, fp long, fn long, precision double, recall double")
-    at_least = n.select(F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))).alias("k")).groupBy("k").agg(F.count("*").alias("n_communities")) if largest > 1 else None
-    return curve.withColumn("n_communities", F.lit(0).cast("long")) if at_least is None else curve.join(at_least, "k")
-
-
 def clique_summary(curve: DataFrame) -> DataFrame:
     """One row: mean precision and recall over sizes, plain and weighted by communities, and the mean and harmonic mean of the F1 of all sizes (0 if one is 0)."""
     f1 = sets.harmonic_mean(F.col("precision"), F.col("recall"))

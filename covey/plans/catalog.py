@@ -399,7 +399,7 @@ def _clique_sql(k: int) -> str:
         joins = " ".join(f"JOIN {table} t{i} ON t{i}.{key} = t0.{key} AND t{i}.node > t{i - 1}.node" for i in range(1, k))
         return f"SELECT DISTINCT {', '.join(f'{n} AS n{i}' for i, n in enumerate(names))} FROM {table} t0 {joins}"
 
-    return f"""WITH p AS ({own('predicted', 'pid')}), g AS ({own('known', 'kid')}), r AS (SELECT (SELECT count(*) FROM (SELECT * FROM p INTERSECT SELECT * FROM g)) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM g) AS ng)
+    return f"""WITH shown AS (SELECT pid, node FROM predicted WHERE node IN (SELECT node FROM known)), p AS ({own('shown', 'pid')}), g AS ({own('known', 'kid')}), r AS (SELECT (SELECT count(*) FROM (SELECT * FROM p INTERSECT SELECT * FROM g)) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM g) AS ng)
     SELECT tp, np - tp AS fp, ng - tp AS fn, round((tp + CAST(1e-5 AS DOUBLE)) / (np + CAST(1e-5 AS DOUBLE)), 6) AS precision, round((tp + CAST(1e-5 AS DOUBLE)) / (ng + CAST(1e-5 AS DOUBLE)), 6) AS recall FROM r"""
 
 

@@ -285,12 +285,14 @@ def test_united_communities_equal_plain_rounds(spark):
 def test_clique_sizes(spark):
     known = spark.createDataFrame([(1, x) for x in "abcd"] + [(2, x) for x in "def"], "kid long, node string")
     predicted = spark.createDataFrame([(1, x) for x in "abcx"] + [(2, x) for x in "efghi"], "pid long, node string")
-    curve = {r.k: (r.tp, r.fp, r.fn, r.n_communities) for r in metrics.clique_curve(known, predicted).collect()}
-    assert curve == {2: (4, 12, 5, 2), 3: (1, 13, 4, 2), 4: (0, 6, 1, 2), 5: (0, 1, 0, 1)}
-    row = metrics.clique_summary(metrics.clique_curve(known, predicted)).first()
-    assert 0 < row.grand_f1 < row.grand_mean and row.precision < 0.1
+    counts = lambda k, **how: metrics.clique_precision_recall(known, predicted, k, **how).first()[:3]
+    assert [counts(k, restricted=False) for k in (2, 3, 4, 5)] == [(4, 12, 5), (1, 13, 4), (0, 6, 1), (0, 1, 0)]
+    assert [counts(k) for k in (2, 3, 4)] == [(4, 0, 5), (1, 0, 4), (0, 0, 1)]
+    curve = spark.createDataFrame([(2, 0.25, 4 / 9, 2), (3, 0.1, 0.2, 2), (4, 0.0, 0.0, 2), (5, 0.0, 0.0, 1)], "k int, precision double, recall double, n_communities long")
+    row = metrics.clique_summary(curve).first()
+    assert row.grand_f1 == 0 < row.grand_mean and row.precision < 0.1
     hidden = spark.createDataFrame([(9, x) for x in "efgh"], "kid long, node string")
-    assert metrics.clique_precision_recall(known, predicted, 2, excluded=hidden).first()[:3] == (4, 7, 5)
+    assert metrics.clique_precision_recall(known, predicted, 2, excluded=hidden, restricted=False).first()[:3] == (4, 7, 5)
 
 
 @pytest.mark.parametrize("name", ["estimator_SVM", "log_reg"])
