@@ -213,7 +213,8 @@ def align(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, chunk_chars: int
     one, zero = F.lit(1).alias("chunks"), F.lit(0).alias("chunk")
     short = rows.filter(F.length("text") <= chunk_chars).select("row", "doc_id", zero, one, "text")
     # Places of spaces to cut at: the first in each window of the text, where there is one.
-    cut = f"regexp_instr(substring(text, cast(k * {chunk_chars} + 1 as int), {chunk_chars}), '[A-Za-z0-9] [A-Za-z0-9]')"
+    # Lengths count characters; a place found by a regular expression would count a character beyond U+FFFF twice.
+    cut = f"length(regexp_extract(substring(text, cast(k * {chunk_chars} + 1 as int), {chunk_chars}), '(?s)^(.*?[A-Za-z0-9]) [A-Za-z0-9]', 1))"
     cuts = f"filter(transform(sequence(1, cast(length(text) div {chunk_chars} as int)), k -> struct(k, {cut} as at)), x -> x.at > 0)"
     bounds = F.expr(f"concat(array(-1), transform({cuts}, x -> cast(x.k * {chunk_chars} + x.at as int)), array(length(text)))")
     long = rows.filter(F.length("text") > chunk_chars).withColumn("bounds", bounds).withColumn("chunks", F.size("bounds") - 1)
