@@ -57,22 +57,23 @@ def containment_threshold(membership: DataFrame) -> DataFrame:
     return q.select(F.coalesce(F.col("p0") + (F.col("p1") - F.col("p0")) / 2, F.lit(0.0)).alias("threshold"))
 
 
-def near_pairs(membership: DataFrame, threshold: float, method: str = "jaccard") -> DataFrame:
+def near_pairs(membership: DataFrame, threshold: float, method: str = "jaccard", new: DataFrame | None = None) -> DataFrame:
     """``cid1, cid2, near`` of pairs that overlap by at least ``threshold``, each once.
 
     ``method`` is ``jaccard``, or ``qi`` for both containments, with their product
     as ``near``.  Such a pair shares one of the first ``n - ceil(t n) + 1`` members
     of each set in the order of rarity, so only those are joined and a member of
     very many communities seldom is one; sizes too far apart are left out before
-    the sets meet.
+    the sets meet.  With ``new(cid)`` only pairs that hold one of these are looked for.
     """
     own = membership.select("cid", "node").distinct()
     ranked = own.join(own.groupBy("node").agg(F.count("*").alias("often")), "node").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("often", "node"))).alias("m"))
     sets_of = ranked.select("cid", F.col("m.node").alias("nodes"), F.size("m").alias("n"))
     first = sets_of.select("cid", "n", F.explode(F.slice("nodes", F.lit(1), F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1)).alias("node"))
-    left, right = (first.select(F.col("cid").alias(f"cid{i}"), F.col("n").alias(f"n{i}"), "node") for i in (1, 2))
+    left, right = (side.select(F.col("cid").alias(f"cid{i}"), F.col("n").alias(f"n{i}"), "node") for i, side in ((1, first if new is None else first.join(new.select("cid"), "cid", "left_semi")), (2, first)))
     close = (F.col("n1") >= F.lit(threshold) * F.col("n2") - 1e-9) & (F.col("n2") >= F.lit(threshold) * F.col("n1") - 1e-9)
-    met = left.join(right, "node").filter((F.col("cid1") < F.col("cid2")) & close).select("cid1", "cid2").distinct()
+    apart = F.col("cid1") < F.col("cid2") if new is None else F.col("cid1") != F.col("cid2")
+    met = left.join(right, "node").filter(apart & close).select(F.least("cid1", "cid2").alias("cid1"), F.greatest("cid1", "cid2").alias("cid2")).distinct()
     both = met.join(sets_of.select(F.col("cid").alias("cid1"), F.col("nodes").alias("a")), "cid1").join(sets_of.select(F.col("cid").alias("cid2"), F.col("nodes").alias("b")), "cid2")
     if method == "jaccard":
         return both.select("cid1", "cid2", sets.jaccard_arrays(F.col("a"), F.col("b")).alias("near")).filter(F.col("near") >= threshold)
