@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sets
+from .auction import auction, settle
 from .components import components
 from .overlap import overlaps, sizes
 from .ranges import running_sums
@@ -132,15 +133,37 @@ def sparse_assignment(row: np.ndarray, column: np.ndarray, weight: np.ndarray, s
     return [(b, a) for a, b in found] if flipped else found
 
 
-def match_communities(pairs: DataFrame) -> DataFrame:
+def match_communities(pairs: DataFrame, task_pairs: int = 2_000_000, epsilon: float = 1e-4) -> DataFrame:
     """``kid, pid, w``: a matching of maximal total affinity, one overlap component at a time.
 
     Pairs without overlap add nothing, so components don't interact.  A component
-    is one task, which holds its pairs.
+    of up to ``task_pairs`` pairs is one task, which holds them.  Of larger ones the
+    pairs that a best matching certainly holds are settled in rounds of joins; what is
+    left falls apart into components again, and only those that are still as large are
+    matched by an auction, whose total is at most ``epsilon / 2`` a community below the best.
     """
     weighted = pairs.withColumn("w", sets.affinity(F.col("c"), F.col("nk"), F.col("np"))).select("kid", "pid", "w")
+    parts = _parts(weighted)
+    large = stored(parts.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > task_pairs).select("component"))
+    if large.isEmpty():
+        return _solved(parts)
+    done = _solved(parts.join(large, "component", "left_anti"))
+    sure, left = settle(parts.join(large, "component", "left_semi").select("kid", "pid", "w"))
+    parts = _parts(left)
+    large = stored(parts.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > task_pairs).select("component"))
+    sold = auction(parts.join(large, "component", "left_semi").select("kid", "pid", "w"), epsilon)
+    return done.unionByName(sure).unionByName(_solved(parts.join(large, "component", "left_anti"))).unionByName(sold)
+
+
+def _parts(weighted: DataFrame) -> DataFrame:
+    """``component, kid, pid, w``, stored."""
     ids = weighted.withColumns({"a": F.xxhash64(F.lit("k"), "kid"), "b": F.xxhash64(F.lit("p"), "pid")})
     parts = ids.join(components(ids.select("a", "b")), F.col("a") == F.col("node"), "left").withColumn("component", F.coalesce("component", F.least("a", "b")))
+    return stored(parts.select("component", "kid", "pid", "w"))
+
+
+def _solved(parts: DataFrame) -> DataFrame:
+    """``kid, pid, w``: the matching of each component, a task each."""
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["kid", "pid"])
@@ -151,7 +174,7 @@ def match_communities(pairs: DataFrame) -> DataFrame:
         found = [(i, j) for i, j in sparse_assignment(k, p, w, (len(kids), len(pids))) if (i, j) in value]
         return pd.DataFrame({"kid": [kids[i] for i, _ in found], "pid": [pids[j] for _, j in found], "w": [value[f] for f in found]})
 
-    kinds = {f.name: f.dataType.simpleString() for f in weighted.schema}
+    kinds = {f.name: f.dataType.simpleString() for f in parts.schema}
     return parts.select("component", "kid", "pid", "w").groupBy("component").applyInPandas(solve, f"kid {kinds['kid']}, pid {kinds['pid']}, w double")
 
 
