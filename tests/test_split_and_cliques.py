@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from test_graph import edges_of
 
@@ -88,3 +89,10 @@ def test_a_task_holds_no_more_than_the_degeneracy_allows(spark):
     for a, b in pairs:
         later.setdefault(min(a, b, key=turn.get), []).append(b)
     assert max(map(len, later.values())) <= 2 * 1.5 * 4 and len(turn) == 306
+
+
+def test_cliques_of_a_node_with_earlier_neighbours():
+    """An earlier node joined to all of a clique tells that it isn't maximal, without a look at other tasks."""
+    own = pd.DataFrame({"src": [2, 3, 4, 1], "others": [np.array([3, 4]), np.array([], int), np.array([], int), np.array([2, 3])]})
+    assert sorted(search._cliques_of((1,), own)) == [[1, 2, 4]]
+    assert sorted(search._cliques_of((1,), own[:3])) == [[1, 2, 3], [1, 2, 4]]
