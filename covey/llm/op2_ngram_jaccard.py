@@ -17,7 +17,9 @@ into blocks and every two blocks meet in one task.
 1. Equal sets become one class with one representative.
 2. Shards; in each, pairs that pass the R-tree's bound, as a spanning forest.
 3. Components of these candidates; each is verified exactly, with overlaps
-   counted in an inverted index; large ones again in pairs of blocks.
+   counted in an inverted index; large ones again in pairs of blocks.  Sets that
+   are known to hang together don't meet again, and a task holds the shingles of
+   a bounded part of a block at a time.
 4. Components of the verified links, carried back to every member.
 
 Only spanning forests leave a task, never all pairs of a group, and no link
@@ -47,6 +49,12 @@ from . import _words
 SLOTS = 1 << 19
 #: Members of a shard, or of a component, that meet at once.
 SHARD_BLOCK, TEXT_BLOCK = 1000, 400
+#: Trees whose first sets all sets of a component meet before the exact check; shingles of the sets that one part of it holds, and of their meetings at once.
+FIRST, AT_ONCE, SPAN = 4, 1 << 20, 1 << 21
+#: Compressed bytes of texts that are cut into shingles at once.
+TEXT_BYTES = 1 << 18
+#: Coordinates of the points that are compared at once.
+COORDINATES = 1 << 22
 #: Points in a leaf and children of a node; a shard up to a leaf is a tree of one leaf, whose points meet.
 LEAF, FANOUT = 16, 16
 #: Coordinates of a point: a power of two, about one for this many shingles, so that none exceeds a byte.
@@ -206,8 +214,9 @@ def _candidates(threshold: tuple[int, int]):
                     need = np.unique(np.concatenate([x, y]))
                     points = _folded(raw, need, d)
                     x_at, y_at = np.searchsorted(need, x), np.searchsorted(need, y)
-                    for lo in range(0, len(x), 1 << 15):
-                        cut = slice(lo, lo + (1 << 15))
+                    step = max(1, COORDINATES // d)
+                    for lo in range(0, len(x), step):
+                        cut = slice(lo, lo + step)
                         ok = close(n[need], points, x_at[cut], y_at[cut], threshold)
                         for i, j in zip(row[x[cut][ok]].tolist(), row[y[cut][ok]].tolist(), strict=True):
                             forest.join(i, j)
@@ -239,28 +248,71 @@ def _verified(size: int, threshold: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, unpack = Forest(), zstandard.ZstdDecompressor().decompress
         p, q = threshold
+
+        def sets_of(texts: list[bytes]) -> Iterator[np.ndarray]:
+            part = np.cumsum([len(x) for x in texts]) // TEXT_BYTES
+            bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                yield from shingles(pa.array([unpack(x).decode() for x in texts[lo:hi]], pa.string()), size)
+
         for table, starts in _words.whole_groups(batches, ["component", "low", "high"]):
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-                rows = table["row"].slice(a, b - a).to_pylist()
-                sets = shingles(pa.array([unpack(x).decode() for x in table["text"].slice(a, b - a).to_pylist()], pa.string()), size)
-                n = np.array([len(s) for s in sets])
-                owner = np.repeat(np.arange(len(sets)), n)
-                _, code, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-                by_code = np.argsort(code, kind="stable")
-                first = np.concatenate([[0], np.cumsum(many)])
-                bounds = np.concatenate([[0], np.cumsum(n)])
-                for i in range(1, len(sets)):
-                    own = code[bounds[i] : bounds[i + 1]]
-                    span = many[own]
-                    at = np.repeat(first[own] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
-                    shared = np.bincount(owner[by_code[at]], minlength=len(sets))[:i]
-                    for j in np.flatnonzero(q * shared >= p * (n[:i] + n[i] - shared)).tolist():
-                        forest.join(rows[i], rows[j])
+                rows, texts = table["row"].slice(a, b - a).to_pylist(), table["text"].slice(a, b - a).to_pylist()
+                # First each set meets the first sets of a few trees, which settles most of a cluster of copies.
+                n, held, first = np.zeros(len(rows), np.int64), [], {}
+                for i, own in enumerate(sets_of(texts)):
+                    n[i] = len(own)
+                    for j, other in first.items():
+                        if forest.root(rows[i]) != forest.root(rows[j]):
+                            small, large = (own, other) if len(own) < len(other) else (other, own)
+                            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                            if q * (shared := int((large[at] == small).sum())) >= p * (n[i] + n[j] - shared):
+                                forest.join(rows[i], rows[j])
+                    if len(first) < FIRST and all(forest.root(rows[i]) != forest.root(rows[j]) for j in first):
+                        first[i] = own
+                    if held is not None:
+                        held.append(own)
+                        held = held if n.sum() <= AT_ONCE else None
+                # Then all sets of different trees meet, in parts of bounded size.
+                part = (np.cumsum(n) - n) // AT_ONCE
+                parts = [np.flatnonzero(part == k) for k in np.unique(part).tolist()]
+                for k, xs in enumerate(parts):
+                    for ys in parts[k:] if len(parts) == 1 else parts[k + 1 :]:
+                        both = xs if ys is xs else np.concatenate([xs, ys])
+                        if len({forest.root(rows[i]) for i in both.tolist()}) > 1:
+                            sets = [held[i] for i in both.tolist()] if held is not None else list(sets_of([texts[i] for i in both.tolist()]))
+                            _join_close(sets, [rows[i] for i in both.tolist()], threshold, forest)
         yield _edge_batch(forest)
 
     return run
 
 
+def _join_close(sets: list[np.ndarray], rows: list[int], threshold: tuple[int, int], forest: Forest) -> None:
+    """Join all sets that link, with overlaps counted in an inverted index; sets of the largest tree don't meet each other."""
+    p, q = threshold
+    n = np.array([len(s) for s in sets])
+    tree = np.array([forest.root(r) for r in rows])
+    names, many = np.unique(tree, return_counts=True)
+    inner = tree == names[many.argmax()]
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, code, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    by_code = owner[np.argsort(code, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(many)])
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    for i in np.flatnonzero(~inner).tolist():
+        own = code[bounds[i] : bounds[i + 1]]
+        shared = np.zeros(len(sets), np.int64)
+        cut = np.cumsum(many[own]) // SPAN
+        for lo in np.unique(cut).tolist():
+            some = own[cut == lo]
+            span = many[some]
+            at = np.repeat(start[some] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
+            shared += np.bincount(by_code[at], minlength=len(sets))
+        link = (q * shared >= p * (n + n[i] - shared)) & (inner | (np.arange(len(sets)) < i))
+        for j in np.flatnonzero(link).tolist():
+            forest.join(rows[i], rows[j])
+
+
 def _in_blocks(members: DataFrame, count: str, block: int) -> DataFrame:
     """Each row once for every two blocks it takes part in: once if its group is one block."""
     blocks = members.withColumn("blocks", F.expr(f"cast(ceil({count} / {block}) as int)"))
