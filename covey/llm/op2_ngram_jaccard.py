@@ -352,12 +352,13 @@ def _linked(rows: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFr
     hot = first.filter(F.size("hot_keys") > 0).select("row", "n", F.explode("hot_keys").alias("key"), band.alias("band"))
     hot = hot.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).select("row", "n", F.xxhash64("key", "band").alias("key"))
     hot = hot.join(hot.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "key").select("row", "n", "key", "members")
-    shards = _in_blocks(keys.unionByName(hot), "members", SHARD_BLOCK).join(points.select("row", "point"), "row")
+    # Blocks are dealt after the joins, which hold a row a member then and not one for each of its blocks.
+    shards = _in_blocks(keys.unionByName(hot).join(points.select("row", "point"), "row"), "members", SHARD_BLOCK)
     shards = shards.select("key", "low", "high", "row", "n", "point").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "row")
     candidates = components(shards.mapInArrow(_candidates(threshold), "a long, b long"))
     members = candidates.unionByName(candidates.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "row")
     members = members.join(members.groupBy("component").agg(F.count("*").alias("members")), "component")
-    texts = rows.select("row", "text").join(_in_blocks(members, "members", TEXT_BLOCK).hint("shuffle_hash"), "row")
+    texts = _in_blocks(rows.select("row", "text").join(members.hint("shuffle_hash"), "row"), "members", TEXT_BLOCK)
     texts = texts.select("component", "low", "high", "row", "text").repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "row")
     linked = components(texts.mapInArrow(_verified(shingle, threshold), "a long, b long"))
     # From representatives to all members of their classes, then the smallest id of each component.
