@@ -49,3 +49,10 @@ def test_what_was_shuffled_goes_with_the_write(spark):
     assert not shuffled() - before
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
     assert table.count() == 997
+
+
+def test_cliques_are_looked_for_after_one_shuffle(spark):
+    edges = spark.createDataFrame([(a, b) for a in range(4) for b in range(a + 1, 4)] + [(3, 4), (4, 5), (3, 5)], "src long, dst long")
+    found = search.maximal_cliques(edges)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(tuple(r.members) for r in found.collect()) == [(0, 1, 2, 3), (3, 4, 5)]
